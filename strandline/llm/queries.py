@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, simhash
+from strandline.llm import langid, mixing, packing, pii, simhash
 from strandline.llm.storage import table
 
 
@@ -26,9 +26,49 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs).select("doc_id", "source", "text", "copy", "shuffle_key")
+
+
+#: The rates, the distribution and the draw of ``mixing`` in SQL; ``highest`` and ``terms`` as for its defaults.
+OP6_SQL = """
+WITH sizes AS (SELECT source, sum(coalesce(length(text), 0) + 1)::double AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, least(1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(size) FROM sizes) / size, 8.0::double) AS rate
+  FROM sizes),
+terms AS (
+  SELECT source, k, exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - lgamma(k + 1)) AS p
+  FROM rates, (SELECT unnest(range(0, 83)) AS k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS total FROM terms),
+draws AS (
+  SELECT *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double AS u
+  FROM documents),
+times AS (
+  SELECT d.doc_id, d.source, d.text, count(c.k) FILTER (WHERE c.total <= d.u) AS times
+  FROM draws d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source
+  GROUP BY ALL)
+SELECT doc_id, source, text, copy::int AS copy,
+       md5('mix-1|order|' || coalesce(doc_id::varchar, '') || '|' || copy) AS shuffle_key
+FROM (SELECT doc_id, source, text, unnest(range(times)) AS copy FROM times)
+"""
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.detect(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_pii": op8_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_source_mixing": OP6_SQL}
