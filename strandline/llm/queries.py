@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, packing, pii, simhash
+from strandline.llm import langid, mixing, packing, pii, shards, simhash, topk, toxicity
 from strandline.llm.storage import table
 
 
@@ -26,6 +26,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old shards follow the source, so a large source has made one of them large; new ones are even in bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = shards.reshard(docs, F.xxhash64("source"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("old").alias("old_shard"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("row")
 
@@ -58,17 +66,50 @@ FROM (SELECT doc_id, source, text, unnest(range(times)) AS copy FROM times)
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    config = toxicity.ToxicityConfig()
+    model, counted = toxicity.fit(docs, labels.where(id_hash(3) != 1), config)
+    predicted = (F.col("score") >= config.threshold).cast("int").alias("predicted")
+    found = toxicity.score(model, counted)
+    return found.select("doc_id", (id_hash(3) == 1).alias("held_out"), "score", predicted, "neighbour_ids", "cosines", "neighbour_labels")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pii.detect(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::int AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_sharding": op4_sharding,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
+    "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLES = {"op6_source_mixing": OP6_SQL}
+ORACLES = {"op6_source_mixing": OP6_SQL, "op10_exact_topk": OP10_SQL}
