@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, packing, pii, shards, simhash, topk, toxicity
+from strandline.llm import langid, media, mixing, packing, passages, pii, shards, simhash, topk, toxicity
 from strandline.llm.storage import table
 
 
@@ -26,6 +26,22 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.audio_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    payload = F.substring("media", media.HEADER.size + 1, (1 << 31) - 1)
+    feature = F.concat_ws(":", "frames", "mels", F.size("segments"), "tensors_sha256")
+    return found.withColumn("payload", payload).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old shards follow the source, so a large source has made one of them large; new ones are even in bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -81,6 +97,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pii.detect(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -104,11 +124,13 @@ WHERE rank <= 5
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_media_columns": op3_media_columns,
     "op4_sharding": op4_sharding,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
 
