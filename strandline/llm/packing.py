@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,12 @@ class Encoder:
         return [self.whole(t) if p is None else self.first[f] + b"".join(map(get, p)) for t, f, p in zip(texts, firsts, parts, strict=True)]
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which Spark uses for task after task: what it remembers serves them all."""
+    return Encoder(path)
+
+
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -124,11 +131,11 @@ def _cut(config: PackingConfig):
     end = np.array([config.end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         names = [c.split()[0] for c in PIECE.split(", ")]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            ids_of = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids_of = own.encode([t or "" for t in batch.column("text").to_pylist()])
             for row, doc_id, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), ids_of, strict=True):
                 ids += end
                 size, start, piece = len(ids) // 4, 0, 0
