@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ class MixingConfig:
     seed: str = "mix-1"
     #: No source is repeated more often than this on average, however small it is.
     highest_rate: float = 8.0
-    #: Documents are weighed by characters plus one, so empty ones count.
-    size: Column = field(default_factory=lambda: F.coalesce(F.length("text"), F.lit(0)) + 1)
+    #: How documents are weighed, in SQL: by characters plus one, so empty ones count.
+    size: str = "coalesce(length(text), 0) + 1"
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -50,7 +50,7 @@ def rates(docs: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
     A source's share of the mixture's size is its share of the weights; the
     rate is that over the size it has. One row for each source.
     """
-    sizes = docs.groupBy("source").agg(F.sum(config.size).cast("double").alias("size"))
+    sizes = docs.groupBy("source").agg(F.sum(F.expr(config.size)).cast("double").alias("size"))
     if config.weights is None:
         weighted = sizes.withColumn("weight", F.lit(1.0))
     else:
@@ -108,5 +108,5 @@ def mix(docs: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
 
 def realised_weights(mixed: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
     """``source, share``: what part of the mixture's size each source has."""
-    sizes = mixed.groupBy("source").agg(F.sum(config.size).alias("size"))
+    sizes = mixed.groupBy("source").agg(F.sum(F.expr(config.size)).alias("size"))
     return sizes.select("source", (F.col("size") / F.sum("size").over(Window.partitionBy())).alias("share"))

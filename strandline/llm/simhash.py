@@ -40,10 +40,10 @@ class SimHashConfig:
 
     def masks(self) -> list[int]:
         """The bits that stay when ``most_bits`` blocks are left out: close pairs agree on one mask."""
+        if not self.most_bits < self.blocks <= BITS:
+            raise ValueError("there must be more blocks than bits that may differ")
         edges = [BITS * i // self.blocks for i in range(self.blocks + 1)]
         block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-        if self.blocks <= self.most_bits:
-            raise ValueError("there must be more blocks than bits that may differ")
         return [sum(c) for c in combinations(block, self.blocks - self.most_bits)]
 
 
