@@ -23,7 +23,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Longer words are scored, but not remembered.
 LONG_WORD = 40
 #: Words that one Python worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,8 @@ class LangIdConfig:
     #: The classifier is fitted on about this many labelled rows, picked by a hash of their id.
     sample_rows: int = 8_000
     #: Words, and n-grams of each length, kept per language: those most used.
-    words_per_language: int = 40_000
-    grams_per_language: int = 20_000
+    words_per_language: int = 20_000
+    grams_per_language: int = 10_000
     longest_gram: int = 5
     smoothing: float = 0.5
 
