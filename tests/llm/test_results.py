@@ -210,7 +210,7 @@ def test_op5_ids_and_places(spark, sf_dir, documents):
 def test_encoder_equals_the_tokenizer(text):
     own = packing.encoder(packing.default_tokenizer())
     want = own.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(next(own.encode([text])), dtype="<u4").tolist() == want
+    assert own.quick is not None and np.frombuffer(own.encode(text), dtype="<u4").tolist() == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -243,14 +243,17 @@ def test_op6_rates_hold_on_average(spark, sf_dir):
     assert mixed.rdd.mapPartitions(lambda rows: [[r["shuffle_key"] for r in rows]]).map(lambda k: k == sorted(k)).reduce(lambda a, b: a and b)
 
 
-def test_op7_is_exact_and_learns(spark, sf_dir, documents):
+def test_op7_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.1"  # smaller tables have too few labels to learn from
+    documents = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     found = QUERIES["op7_toxicity"](spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in found) == sorted(documents)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for r in found)
     one = [r["score"] for r in found if r["held_out"] and labels.get(r["doc_id"]) == 1]
     zero = [r["score"] for r in found if r["held_out"] and labels.get(r["doc_id"]) == 0]
-    assert np.mean([a > b for a in one for b in zero]) + 0.5 * np.mean([a == b for a in one for b in zero]) > 0.8
+    assert np.mean([a > b for a in one for b in zero]) + 0.5 * np.mean([a == b for a in one for b in zero]) > 0.9
+    assert np.mean([s >= 0.7 for s in zero]) < 0.01
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -348,9 +351,9 @@ def test_op9_finds_planted_passages(spark):
             out.append("".join(rng.choice(syllables, rng.integers(1, 4))) + str(rng.integers(0, 50)) + ("." if i % every == every - 1 else ""))
         return out
 
-    passage, near = prose(60), prose(60)
+    passage, near = prose(60), prose(120)
     changed = [*near]
-    changed[30] = "other"
+    changed[60] = "other"
     table = []
     for i in range(60):
         words = prose(150)
@@ -362,11 +365,10 @@ def test_op9_finds_planted_passages(spark):
     docs = make(spark, table)
     found = passages.shared_passages(docs).collect()
     assert {r["doc_id"] for r in found} == {i for i in range(60) if i % 5 == 0} | {1, 2}
-    kept = [r for r in found if not r["removed"] and r["doc_id"] % 5 == 0]
-    assert {r["doc_id"] for r in kept} == {0}
+    assert {r["doc_id"] for r in found if r["removed"]} == {i for i in range(5, 60, 5)} | {2}
     for r in found:
         at = 40 if r["doc_id"] in (1, 2) else 70
-        assert r["start_word"] >= at and r["end_word"] <= at + 60
+        assert r["start_word"] >= at and r["end_word"] <= at + (120 if r["doc_id"] in (1, 2) else 60)
     left = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()}
     assert left[3] == table[3][1] and left[0] == table[0][1] and len(left[5].split()) < 190
     assert passages.PassageConfig().bands() == 3 and passages.without_words("a  b\nc d", [(1, 3)]) == "a  \n d"
