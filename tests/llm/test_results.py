@@ -368,7 +368,8 @@ def test_op9_finds_planted_passages(spark):
     assert {r["doc_id"] for r in found if r["removed"]} == {i for i in range(5, 60, 5)} | {2}
     for r in found:
         at = 40 if r["doc_id"] in (1, 2) else 70
-        assert r["start_word"] >= at and r["end_word"] <= at + (120 if r["doc_id"] in (1, 2) else 60)
+        # A similar paragraph may go on for a few words after the passage.
+        assert r["start_word"] >= at and r["end_word"] <= at + (120 if r["doc_id"] in (1, 2) else 60) + 10
     left = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()}
     assert left[3] == table[3][1] and left[0] == table[0][1] and len(left[5].split()) < 190
     assert passages.PassageConfig().bands() == 3 and passages.without_words("a  b\nc d", [(1, 3)]) == "a  \n d"
