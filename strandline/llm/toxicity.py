@@ -225,6 +225,7 @@ def fit(docs: DataFrame, labelled: DataFrame, config: ToxicityConfig = ToxicityC
     The driver gets the examples' term counts and one frequency for each term,
     both bounded by ``config``.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     labelled = labelled.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample, there = _sample(labelled, config)
@@ -232,7 +233,10 @@ def fit(docs: DataFrame, labelled: DataFrame, config: ToxicityConfig = ToxicityC
     examples = written(docs.join(F.broadcast(sample), "doc_id"))
     vocabulary = _vocabulary(examples, config)
     share = there.get(1, 0) / max(1, sum(there.values()))
-    counted = written(docs.select("doc_id", term_counts(F.col("text"), vocabulary, config.beginnings).alias("terms")))
+    terms = docs.select("doc_id", term_counts(F.col("text"), vocabulary, config.beginnings).alias("terms"))
+    # Term counts are small files but as much work to search for as their texts are many: as many parts as those have.
+    parts = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    counted = written(terms).repartition(parts)
     if not vocabulary:
         return ToxicityModel([], None, np.ones(2), np.zeros(1), np.full(1, share), config), counted
     documents = counted.count()
