@@ -64,7 +64,9 @@ def fit(labelled: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdMod
     """
     labelled = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1))
-    words = _labelled_sample(labelled, config.sample_rows).select("lang", word.alias("unit")).groupBy("lang", "unit").count()
+    words = _labelled_sample(labelled, config.sample_rows).select("lang", word.alias("unit"))
+    # Longer runs of letters are no words to learn from; they are still scored, by their n-grams.
+    words = words.where(F.length("unit") <= LONG_WORD).groupBy("lang", "unit").count()
     words = words.select("lang", F.lit(0).alias("n"), "unit", "count").persist()
     padded = F.concat(F.lit("_"), "unit", F.lit("_"))
     grams = words.select(
@@ -176,15 +178,16 @@ def broadcast_model(spark: SparkSession, model: LangIdModel) -> Broadcast:
     return spark.sparkContext.broadcast(model)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3, config: LangIdConfig = LangIdConfig()) -> DataFrame:
+def keep_identified(docs: DataFrame, least_lead: float = 1e-9, config: LangIdConfig = LangIdConfig()) -> DataFrame:
     """The rows of ``docs`` whose text has a language; columns as they are.
 
-    Texts without a letter go, and those for which no language reaches
-    ``least_score``. Without any labelled row nothing can be judged, and only
-    texts without a letter go.
+    Texts without a letter go, and those that no language leads in: whose best
+    score is not ``least_lead`` above even odds, as in a script that no labelled
+    row has. Short texts of any learned language stay. Without labelled rows of
+    two languages nothing can be judged, and only texts without a letter go.
     """
     model = fit(docs, config)
-    if not model.languages:
+    if len(model.languages) < 2:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = identify(F.col("text"), broadcast_model(docs.sparkSession, model))
-    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least_score))
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= 1 / len(model.languages) + least_lead))

@@ -113,9 +113,11 @@ def _largest_norm(length: int, config: TopKConfig):
     return largest
 
 
-def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: float, config: TopKConfig) -> DataFrame:
+def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: float, config: TopKConfig) -> DataFrame | None:
     spark = candidates.sparkSession
-    parts = [_numbers(b, config.scale, length) for b in block.to_batches()]
+    parts = [p for b in block.to_batches() if len((p := _numbers(b, config.scale, length))[0])]
+    if not parts:
+        return None
     ids, vectors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     ids, first = np.unique(ids, return_index=True)
     vectors = vectors[first]
@@ -164,7 +166,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, config: TopKConfig = TopKC
         for b in range(blocks):
             block = dealt.where(F.col("block") == b).drop("block").toArrow()
             found = _search_block(rows, block, length, float(np.sqrt(norm or 0.0)), config)
-            result = found if result is None else result.unionByName(found)
+            if found is not None:
+                result = found if result is None else result.unionByName(found)
     if result is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return result
