@@ -25,7 +25,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     An empty table of links gives an empty result; links of a node with itself
     give that node a component of its own.
     """
-    ends = links.select("a", "b")
+    ends = written(links.select("a", "b"))
     left = written(ends.select(*_links(F.xxhash64("a"), F.xxhash64("b"))).distinct())
     labels = written(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     labels = labels.select("node", F.xxhash64("node").alias("component"))
