@@ -61,8 +61,8 @@ def _scored(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: n
             yield some, scores
 
 
-def _histograms(query: tuple, low: np.ndarray, width: np.ndarray, config: TopKConfig):
-    """For each query the count of scores by bin from ``low`` on, down to the bin that this task's k-th score is in."""
+def _histograms(query: tuple, low: np.ndarray, high: np.ndarray, width: np.ndarray, config: TopKConfig):
+    """For each query the count of scores by bin from ``low`` on, below ``high``, down to the bin that this task's k-th score is in."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, bins = len(low), config.bins
@@ -70,7 +70,7 @@ def _histograms(query: tuple, low: np.ndarray, width: np.ndarray, config: TopKCo
         base = (np.arange(n) * bins)[:, None]
         for _, scores in _scored(batches, *query.value, config):
             place = np.floor((scores - low[:, None]) / width[:, None])
-            inside = (place >= 0) & (place < bins)
+            inside = (place >= 0) & (place < bins) & (scores < high[:, None])  # bins may reach past high
             counts += np.bincount((place + base)[inside].astype(np.int64), minlength=n * bins)
         table = counts.reshape(n, bins)
         above = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
@@ -129,7 +129,7 @@ def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: flo
     while going.any():
         width = np.maximum(1.0, np.ceil((high - low) / config.bins))
         ask_low = np.where(going, low, np.inf)  # nothing is counted for those that are done
-        counted = candidates.mapInArrow(_histograms(query, ask_low, width, config), "query int, bin int, n long")
+        counted = candidates.mapInArrow(_histograms(query, ask_low, high, width, config), "query int, bin int, n long")
         down = Window.partitionBy("query").orderBy(F.desc("bin"))
         sums = counted.groupBy("query", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(down))
         wanted = spark.createDataFrame([(int(q), int(need[q])) for q in np.flatnonzero(going)], "query int, need long")
@@ -141,7 +141,7 @@ def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: flo
                 going[q] = False
                 continue
             low[q] += at["bin"] * width[q]
-            high[q] = low[q] + width[q]
+            high[q] = min(high[q], low[q] + width[q])
             need[q] -= at["upto"] - at["n"]
             going[q] = width[q] > 1 and config.k - need[q] + at["n"] > config.few
     reaching = candidates.mapInArrow(_reaching(query, low, config), "query_id long, vec_id long, score long")

@@ -397,6 +397,18 @@ def test_op10_ties_copies_and_bad_vectors(spark):
     assert topk.exact_top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_op10_better_vectors_above_a_refined_bin(spark):
+    # With the query's [256, 1], a vector [a, b] scores 256 a + b: many close scores, and a few better ones just above.
+    scores = [(40_000 + g * 1500 + i % 97, 10_000 * g + i + 1) for g in range(6) for i in range(300)]
+    queries = [(0, [1.0, 1 / 256])]
+    for top in range(6):
+        table = [(s, i) for s, i in scores if s < 40_000 + top * 1500 + 100] + [(40_000 + top * 1500 + 130 + 90 * j, 90_001 + j) for j in range(3)]
+        df = spark.createDataFrame(queries + [(i, [s // 256 / 256, s % 256 / 256]) for s, i in table], "vec_id long, embedding array<float>")
+        got = topk.exact_top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
+        want = sorted((-s, i) for s, i in table)[:5]
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_pipeline_stages(spark, sf_dir, documents):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
