@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import langid, media, mixing, packing, passages, pii, shards, simhash, topk, toxicity
+from strandline.llm import langid, media, mixing, packing, passages, pii, shards, similar, simhash, topk, toxicity
 from strandline.llm.components import connected_components
 from strandline.llm.queries import ORACLES, QUERIES
 from tests.compare import duck, rows
@@ -432,3 +432,43 @@ def test_pipeline_stages(spark, sf_dir, documents):
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= set(ids)
     check_sequences(packing.pack(mixed).collect())
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def shingle_set(text, words=5):
+    parts = (text or "").encode().lower().split()
+    return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def kept_by_jaccard(texts):
+    """The least ids of the components of pairs of Jaccard 0.8 or more, by all pairs."""
+    ids = sorted(texts)
+    sets = [shingle_set(texts[i]) for i in ids]
+    close = [(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    least = {}
+    for i, r in zip(ids, union_find(len(ids), close), strict=True):
+        least[r] = min(i, least.get(r, i))
+    return sorted(least.values())
+
+
+def test_pipeline_drops_pairs_of_jaccard_08(spark):
+    sf_dir = "/root/testdata/sf0.01"  # of the pairs there, some are over 3 bits apart
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    once = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf_dir)
+    assert once.columns == docs.columns
+    assert sorted(r["doc_id"] for r in once.collect()) == kept_by_jaccard({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_similar_sets_at_the_limit_and_by_steps(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
+    table = {}
+    for i in range(60):  # more and more words differ at the end, so some pairs are alike only by steps
+        table[i] = " ".join([*base[: 200 - 3 * i], *[f"n{j}" for j in range(3 * i)]])
+    for i in range(60, 90):
+        table[i] = " ".join([*base[:150], *[f"o{i}_{j}" for j in range(int(rng.integers(1, 60)))]])
+    table |= {90: "a b c", 91: "A  b\nc", 92: "a b d", 93: "", 94: None, 95: " "}
+    docs = make(spark, [(i, t, None, None) for i, t in table.items()])
+    assert sorted(r["doc_id"] for r in similar.drop_similar(docs).collect()) == kept_by_jaccard(table)
+    odd = make(spark, [(None, "x", None, None), (5, "x", None, None), (5, "x", None, None), (None, "y", None, None)])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in similar.drop_similar(odd).collect()) == [(0, "y"), (5, "x")]
+    assert similar.drop_similar(docs.where("false")).count() == 0
