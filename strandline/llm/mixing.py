@@ -19,6 +19,8 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,6 @@ class MixingConfig:
     #: Size of the mixture as a share of the input's size.
     budget: float = 1.0
     seed: str = "mix-1"
-    #: No source is repeated more often than this on average, however small it is.
-    highest_rate: float = 8.0
     #: How documents are weighed, in SQL: by characters plus one, so empty ones count.
     size: str = "coalesce(length(text), 0) + 1"
 
@@ -60,38 +60,43 @@ def rates(docs: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
     # One row for each source, which partial sums have made: few rows even where documents are many.
     every = weighted.agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes"))
     rate = F.col("weight") / F.col("weights") * F.col("sizes") * config.budget / F.col("size")
-    return weighted.crossJoin(every).select("source", F.least(rate, F.lit(config.highest_rate)).alias("rate"))
+    return weighted.crossJoin(every).select("source", rate.alias("rate"))
 
 
-def _terms(highest_rate: float) -> int:
-    """So many that a larger draw is less likely than the smallest step of ``uniform``."""
-    return math.ceil(highest_rate + 12 * math.sqrt(highest_rate) + 40)
+def _distribution(rate: float) -> tuple[int, np.ndarray]:
+    """A first number of repeats and the chances of at most that many, one more, ...
+
+    What is left out on either side is less likely than the smallest step of ``uniform``.
+    """
+    if not rate > 0:
+        return 0, np.ones(1)
+    reach = 12 * math.sqrt(rate) + 40
+    k = np.arange(max(0, math.floor(rate - reach)), math.ceil(rate + reach) + 1)
+    # In logs, as exp(-rate) may be too small for a number.
+    return int(k[0]), np.cumsum(np.exp(-rate + k * math.log(rate) - np.array([math.lgamma(i + 1) for i in k.tolist()])))
 
 
-def with_distribution(rates_of: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
-    """Adds ``cdf``: the chance of at most 0, 1, 2, ... repeats."""
-    steps = F.sequence(F.lit(1), F.lit(_terms(config.highest_rate)))
-    zero = F.exp(-F.col("rate"))
-    start = F.struct(zero.alias("p"), zero.alias("total"), F.array(zero).alias("cdf"))
+def with_distribution(rates_of: DataFrame) -> DataFrame:
+    """Adds ``first`` and ``cdf``: the chance of at most ``first``, ``first + 1``, ... repeats."""
 
-    def add(state: Column, k: Column) -> Column:
-        p = state["p"] * F.col("rate") / k
-        total = state["total"] + p
-        return F.struct(p.alias("p"), total.alias("total"), F.concat(state["cdf"], F.array(total)).alias("cdf"))
+    def udf(rates: pa.Array) -> pa.Array:
+        found = [_distribution(r) for r in rates.to_pylist()]
+        return pa.array([{"first": f, "cdf": c.tolist()} for f, c in found], pa.struct([("first", pa.int32()), ("cdf", pa.list_(pa.float64()))]))
 
-    return rates_of.select("source", "rate", F.aggregate(steps, start, add, lambda s: s["cdf"]).alias("cdf"))
+    found = F.arrow_udf(udf, "first int, cdf array<double>")(F.col("rate"))
+    return rates_of.select("source", "rate", found.alias("found")).select("source", "rate", "found.*")
 
 
 def replicate(docs: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
     """Each row of ``docs`` as often as its draw says, with ``copy`` from 0 and ``shuffle_key``."""
     columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    table = written(with_distribution(rates(docs, config), config).where("rate > 0").select(F.struct("*").alias("of_source")))
+    table = written(with_distribution(rates(docs, config).where("rate > 0")).select(F.struct("*").alias("of_source")))
     docs = docs.select(F.struct(*columns).alias("doc"))
     # One row for each source, of a size Spark knows now: it goes to all tasks if that is under Spark's
     # broadcast threshold; else both sides are dealt by source and a hot one is split.
     joined = docs.join(table, F.col("doc.source").eqNullSafe(F.col("of_source.source")))
     draw = uniform(config.seed, F.col("doc.doc_id"))
-    times = F.size(F.filter("of_source.cdf", lambda c: c <= draw))
+    times = F.col("of_source.first") + F.size(F.filter("of_source.cdf", lambda c: c <= draw))
     copies = joined.withColumn("times", times).where("times > 0").select("doc", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(config.seed), F.lit("order"), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), F.col("copy")).cast("binary"))
     return copies.select("doc.*", "copy", key.alias("shuffle_key"))

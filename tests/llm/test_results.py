@@ -243,6 +243,20 @@ def test_op6_rates_hold_on_average(spark, sf_dir):
     assert mixed.rdd.mapPartitions(lambda rows: [[r["shuffle_key"] for r in rows]]).map(lambda k: k == sorted(k)).reduce(lambda a, b: a and b)
 
 
+def test_op6_small_sources_reach_their_share(spark):
+    # Ten sources of the same weight; "rare" has about 0.02 % of the characters, a rate of about 600.
+    table = [(i, "x" * 99, None, f"s{i % 9}") for i in range(9000)] + [(9000 + i, "y" * 9, None, "rare") for i in range(15)]
+    docs = make(spark, table)
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs).collect()}
+    assert rate["rare"] == pytest.approx(900_150 / 10 / 150)
+    share = {r["source"]: r["share"] for r in mixing.realised_weights(mixing.mix(docs)).collect()}
+    assert len(share) == 10 and all(s == pytest.approx(0.1, rel=0.15) for s in share.values())
+    for rate in (0.7, 8.0, 50.0, 2000.0):
+        first, cdf = mixing._distribution(rate)
+        chance = np.diff(cdf, prepend=0)
+        assert cdf[-1] == pytest.approx(1, abs=1e-9) and chance @ (first + np.arange(len(cdf))) == pytest.approx(rate, rel=1e-8)
+
+
 def test_op7_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.1"  # smaller tables have too few labels to learn from
     documents = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
