@@ -276,18 +276,82 @@ def test_block_max_search_is_exact(seed):
     idf = rng.uniform(0.5, 3, 30)
     vectors = []
     for _ in range(300):
-        at = np.sort(rng.choice(30, rng.integers(0, 6), replace=False))
+        at = np.unique(np.minimum(rng.geometric(0.12, rng.integers(0, 9)), 29))  # some terms are frequent
         vectors.append((at, rng.integers(1, 4, len(at)).astype(float)))
-    index = toxicity.BlockMaxIndex(np.arange(300), rng.integers(0, 2, 300), vectors, idf, 16)
+    config = toxicity.ToxicityConfig(block_rows=16)
+    index = toxicity.BlockMaxIndex(np.arange(300), rng.integers(0, 2, 300), vectors, idf, config)
+    assert 0 < (index.place >= 0).sum() < 30
     dense = np.zeros((300, 30))
     for i, (at, n) in enumerate(vectors):
-        dense[i, at] = toxicity.weights(at, n, idf)
+        dense[i, at] = toxicity.unit_weights(at, n, idf)
     for i in range(40):
-        rows_, cosines = index.nearest(*vectors[i], 7, but=int(np.flatnonzero(index.ids == i)[0]))
-        want = dense @ dense[i]
-        want[i] = 0
-        order = [j for j in np.lexsort((np.arange(300), -np.round(want, 9))) if want[j] > 0][:7]
-        assert index.ids[rows_].tolist() == order and np.allclose(cosines, want[order])
+        for but in (int(np.flatnonzero(index.ids == i)[0]), None):
+            rows_, cosines = index.nearest(*vectors[i], 7, but=but)
+            want = dense @ dense[i]
+            want[i] = 0 if but is not None else want[i]
+            order = [j for j in np.lexsort((np.arange(300), -np.round(want, 9))) if want[j] > 0][:7]
+            assert index.ids[rows_].tolist() == order and np.allclose(cosines, want[order])
+
+
+def slow_toxicity(documents, labels, config):
+    """Cosines of all pairs and votes, from the definition, for tables that are sampled whole."""
+    words = {i: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in documents.items()}
+    ids = sorted(labels)
+    there = Counter(labels.values())
+    n = Counter(w for i in ids for w in words[i])
+    ones = Counter(w for i in ids if labels[i] for w in words[i])
+    vocabulary = sorted(w for w in n if n[w] >= 2)
+    df = Counter(w for c in words.values() for w in c)
+    weight = {w: (math.log((1 + len(documents)) / (1 + df[w])) + 1e-3) * math.log2(2 + ones[w] / there[1] / (max(n[w] - ones[w], 1) / there[0])) ** config.tone for w in vocabulary}
+
+    def unit(c):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    units = {i: unit(c) for i, c in words.items()}
+
+    def vote(i, but):
+        cosines = [(sum(x * units[e].get(w, 0) for w, x in units[i].items()), e) for e in ids if e != but]
+        near = sorted([(-round(c, 9), e, c) for c, e in cosines if c > 0])[: config.neighbours]
+        one = sum(c for _, e, c in near if labels[e])
+        return one / (sum(c for *_, c in near) + config.doubt), near
+
+    raw = np.array([vote(i, i)[0] for i in ids])
+    at, chance = toxicity.calibration(np.round(raw, 12), np.array([labels[i] for i in ids]), np.ones(len(ids)))
+    return {i: (float(np.interp(vote(i, None)[0], at, chance)), [e for _, e, _ in vote(i, None)[1]]) for i in documents}
+
+
+def test_op7_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    common, rude = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)], ["idiot", "trash", "scum"]
+    texts = {}
+    for i in range(90):
+        words = list(rng.choice(common, rng.integers(3, 25)))
+        texts[i] = " ".join(words + (list(rng.choice(rude, 2)) if i % 3 == 0 else []))
+    texts |= {90: None, 91: "", 92: "zzz unseen", 93: texts[3]}
+    labels = {i: int(i % 3 == 0) for i in range(60)}
+    docs = make(spark, [(i, t, None, None) for i, t in texts.items()])
+    labelled = spark.createDataFrame(list(labels.items()) + [(0, 0), (1, None), (None, 1), (500, 1)], "doc_id long, toxic int")
+    config = toxicity.ToxicityConfig(block_rows=8)
+    want = slow_toxicity(texts, labels, config)
+    found = {r["doc_id"]: r for r in toxicity.score(*toxicity.fit(docs, labelled.where("coalesce(doc_id, 0) <> 500"), config)).collect()}
+    assert found.keys() == texts.keys()
+    for i, r in found.items():
+        assert r["score"] == pytest.approx(want[i][0], abs=1e-6) and r["neighbour_ids"] == want[i][1]
+    assert np.mean([found[i]["score"] for i in range(60, 90) if i % 3 == 0]) > 0.5 > np.mean([found[i]["score"] for i in range(60, 90) if i % 3])
+
+
+def test_op7_repeated_ids_make_one_example(spark):
+    rows_ = [(i % 5, f"alpha beta {'idiot' if i % 5 < 2 else 'gamma'} w{i % 5}", None, None) for i in range(50)]
+    labelled = spark.createDataFrame([(i, int(i < 2)) for i in range(5)] * 3, "doc_id long, toxic int")
+    model, counted = toxicity.fit(make(spark, rows_), labelled)
+    assert sorted(model.index.ids.tolist()) == [0, 1, 2, 3, 4] and model.stands_for.tolist() == [1.0, 1.0] and counted.count() == 50
+
+
+def test_op7_most_documents_have_terms(spark):
+    found = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.01")
+    assert found.where("size(neighbour_ids) > 0").count() > 0.9 * found.count()
 
 
 def test_calibration_rises():
