@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,12 +412,41 @@ def test_op8_over_the_table(spark, sf_dir, documents):
         ("see john.smith at gmail.com", []),
         ("one two three of them are at that dot", []),
         ("a@b.c and １２ x", ["a@b.c"]),
+        ("host one nine two dot one six eight dot one dot one", ["one nine two dot one six eight dot one dot one"]),
+        ("to 𝐣𝐨𝐡𝐧@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.com", ["𝐣𝐨𝐡𝐧@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.com"]),
+        ("call +①②③ ④⑤⑥ ⑦⑧⑨⓪.", ["+①②③ ④⑤⑥ ⑦⑧⑨⓪"]),
+        ("call plus 4 nine 1 five 1 two 3 four five six", ["plus 4 nine 1 five 1 two 3 four five six"]),
+        ("is j o h n @ e x a m p l e . c o m ok", ["j o h n @ e x a m p l e . c o m"]),
+        ("ফোন +৪৯১৫১২৩৪৫৬৭৮", ["+৪৯১৫১২৩৪৫৬৭৮"]),
+        ("jоhn@example.com", ["jоhn@example.com", "hn@example.com"]),
+        ("john@example.cоm", ["john@example.cоm", "john@example.c"]),
+        ("mail john @ example . com", ["john @ example . com"]),
+        ("mail john@example dot co dot uk, ok", ["john@example dot co dot uk"]),
+        ("mail jo dot smith at mail dot ru.", ["jo dot smith at mail dot ru"]),
+        ("look at the dot in the sky, at a dot com", []),
+        ("x\u200by@exa\xadmple.com", ["x\u200by@exa\xadmple.com"]),
+        ("Größe für 12 Straßen, déjà vu", []),
     ],
 )
 def test_disguises(text, found):
     every = pii.spans_of(text)[1]
-    assert [text[a:b] for a, _, b in every] == found
+    assert sorted(text[a:b] for a, _, b in every) == sorted(found)
     assert set(pii.spans_of(text)[0]) <= set(every)
+    left = pii.redacted(text)
+    assert not any(x in left for x in found)
+
+
+@pytest.mark.parametrize("unit", [" ", "a dot ", "1", "1 ", "a at b dot com ", "( ", "one ", "one dot ", "a@", "+1", "1.", " . ", "аб", "a\u200b", "+1(((", "x @ ", "-", "a.", "[at", "at "])
+def test_pii_takes_time_in_proportion(unit):
+    text = "a (at) b " + unit * (1_000_000 // len(unit)) + " (at)"
+    began = time.process_time()
+    pii.spans_of(text)
+    assert time.process_time() - began < 8  # quadratic ones take hours
+
+
+def test_redaction_of_spans_within_spans():
+    assert pii.redacted("to jоhn@example.com and john@example.cоm.") == "to [EMAIL] and [EMAIL]."
+    assert pii.redacted("card 4111 1111 1111 1111, +4111111111111 x") == "card [CARD], [PHONE] x"
 
 
 def test_op9_finds_planted_passages(spark):
