@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.storage import written
+from strandline.llm.storage import discard, written
 
 
 def _links(u, v) -> list:
@@ -17,8 +17,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round lets every node point to its smallest neighbour, follows the
     pointers a few steps and merges what points to the same node. Nodes are
-    compared by a hash, so chains in order of their ids shrink like others;
-    the rounds grow with the logarithm of the longest path. ``component`` is
+    compared by a hash, which tells all 64-bit numbers apart, so chains in order
+    of their ids shrink like others; the rounds grow with the logarithm of the longest path. ``component`` is
     the hash that a component's nodes agree on. Nothing is gathered by
     component: only minima and joins, which split a crowded key.
 
@@ -27,21 +27,27 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     ends = written(links.select("a", "b"))
     left = written(ends.select(*_links(F.xxhash64("a"), F.xxhash64("b"))).distinct())
-    labels = written(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    labels = labels.select("node", F.xxhash64("node").alias("component"))
+    labels = written(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.xxhash64("node").alias("component")))
+    discard(ends)
     for _ in range(most_rounds):
-        left = left.where("u <> v")
-        if left.isEmpty():
+        going = left.where("u <> v")
+        if going.isEmpty():
+            discard(left)
             return labels
-        both = left.union(left.select("v", "u"))
-        point = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
+        both = going.union(going.select("v", "u"))
+        nearest = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
+        point = nearest
         for _ in range(2):
             after = point.select(F.col("u").alias("to"), F.col("to").alias("then"))
             point = point.join(after, "to").select("u", F.col("then").alias("to"))
         point = written(point)
-        at_u = left.join(point, "u").select(F.col("to").alias("new_u"), F.col("v").alias("u"))
+        at_u = going.join(point, "u").select(F.col("to").alias("new_u"), F.col("v").alias("u"))
         both_ends = at_u.join(point, "u").select(*_links(F.col("new_u"), F.col("to")))
-        left = written(both_ends.distinct())
+        shorter = written(both_ends.distinct())
         moved = point.select(F.col("u").alias("component"), F.col("to").alias("new"))
-        labels = written(labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
+        merged = written(labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
+        # All that follows is written itself.
+        for done in (left, nearest, point, labels):
+            discard(done)
+        left, labels = shorter, merged
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER: list[str] = []
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,7 +37,18 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``written`` wrote for ``df``, once nothing that isn't written itself needs it; else does nothing."""
+    path = _WRITTEN.pop(df, None)
+    if path:
+        spark = df.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

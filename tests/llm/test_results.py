@@ -480,10 +480,87 @@ def test_op9_finds_planted_passages(spark):
         assert r["start_word"] >= at and r["end_word"] <= at + (120 if r["doc_id"] in (1, 2) else 60) + 10
     left = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()}
     assert left[3] == table[3][1] and left[0] == table[0][1] and len(left[5].split()) < 190
-    assert passages.PassageConfig().bands() == 2 and passages.PassageConfig(recall=0.99).bands() == 3
+    assert passages.PassageConfig().bands() == 3 and passages.PassageConfig(band_rows=2).bands() == 5
     assert passages.without_words("a  b\nc d", [(1, 3)]) == "a  \n d"
 
 
+def longest_shared_runs(texts, words=8):
+    """Of each text the words of its longest run whose every ``words`` neighbours another document has, and how many differ in it."""
+    owner, shared, grams = {}, set(), {}
+    for i, t in texts.items():
+        parts = (t or "").encode().split()
+        grams[i] = parts, [b" ".join(parts[j : j + words]) for j in range(len(parts) - words + 1)]
+        for g in set(grams[i][1]):
+            if owner.setdefault(g, i) != i:
+                shared.add(g)
+    out = {}
+    for i, (parts, own) in grams.items():
+        best, run, at = 0, 0, 0
+        for j, g in enumerate(own):
+            run = run + 1 if g in shared else 0
+            if run > best:
+                best, at = run, j
+        out[i] = (best + words - 1, len(set(parts[at - best + 1 : at + words]))) if best else (0, 0)
+    return out
+
+
+def test_op9_recall_and_precision_over_the_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    runs = longest_shared_runs(texts)
+    wanted = {i for i, (n, varied) in runs.items() if n > 50 and varied > 15}
+    copies = Counter(" ".join((t or "").split()) for t in texts.values())
+    copied = {i for i, t in texts.items() if copies[" ".join((t or "").split())] > 1 and len((t or "").split()) >= 7}
+    found = {r["doc_id"] for r in QUERIES["op9_substring_dedup"](spark, sf_dir).collect()}
+    assert len(wanted & found) >= 0.98 * len(wanted) > 50
+    assert len(copied & found) >= 0.98 * len(copied) > 50
+    clean = {i for i, (n, _) in runs.items() if n < 20} - copied
+    assert len(clean & found) <= 0.005 * len(clean)
+
+
+def test_op9_copies_and_heads_without_sentences(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 5))
+    copy, head, dialogue = [word() for _ in range(15)], [word() for _ in range(30)], [word() for _ in range(72)]
+    talk = " ".join(w + ("!" if i % 6 == 5 else "") for i, w in enumerate(dialogue))
+    table = [(i, " ".join(copy)) for i in range(5)]
+    table += [(10 + i, " ".join(head) + ". " + " ".join(word() for _ in range(50))) for i in range(5)]
+    table += [(20 + i, " ".join(word() for _ in range(40 + i)) + " " + talk + " " + " ".join(word() for _ in range(40))) for i in range(5)]
+    table += [(100 + i, " ".join(word() for _ in range(rng.integers(8, 40)))) for i in range(60)]
+    unlike = len(table)
+    table += [(1000 + i, t) for i, (_, t) in enumerate(table[15:])]  # copies of texts without a sentence end
+    docs = make(spark, [(i, t, None, None) for i, t in table])
+    found = {r["doc_id"]: r for r in passages.shared_passages(docs).collect()}
+    assert found.keys() == {i for i, _ in table} and unlike == 75
+    assert (found[0]["start_word"], found[0]["end_word"]) == (0, 15) and found[10]["start_word"] == 0 and found[10]["end_word"] >= 24
+
+
+def slow_jaccard(a, b, words=5):
+    one, two = ({tuple(x[i : i + words]) for i in range(len(x) - words + 1)} for x in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_op9_links_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 4))
+    texts = []
+    for g in range(150):  # one paragraph each, without sentences; every other group differs in its last words
+        base = [word() for _ in range(13)]
+        texts += [[*base], [*base[: 12 if g % 3 else 9], *[word() for _ in range(1 if g % 3 else 4)]]]
+    docs = make(spark, [(i, " ".join(t), None, None) for i, t in enumerate(texts)])
+    cut = [passages.cut([" ".join(t).encode()], passages.PassageConfig()) for t in texts]
+    whole = [t[c.start[i] : c.end[i]] for t, c in zip(texts, cut, strict=True) for i in range(len(c.start))]
+    owner = [(j, int(c.start[i])) for j, c in enumerate(cut) for i in range(len(c.start))]
+    want = set()
+    for i in range(len(whole)):
+        for j in range(i):
+            if owner[i][0] != owner[j][0] and slow_jaccard(whole[i], whole[j]) >= 0.8:
+                want |= {owner[i], owner[j]}
+    got = passages.repeated_paragraphs(docs).join(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id"), "row")
+    got = {(r["doc_id"], r["start"]) for r in got.collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 150
+
+
 def test_similar_paragraphs_of_a_crowded_key(spark):
     config = passages.PassageConfig(group_rows=8)
     words = [f"w{i}" for i in range(40)]
