@@ -47,7 +47,6 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = point.select(F.col("u").alias("component"), F.col("to").alias("new"))
         merged = written(labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
         # All that follows is written itself.
-        for done in (left, nearest, point, labels):
-            discard(done)
+        discard(left, nearest, point, labels)
         left, labels = shorter, merged
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -227,20 +228,28 @@ def _similar(config: PassageConfig):
     """Over rows sorted by group: links that join all similar paragraphs of a group. Holds one group, which is bounded."""
 
     def forest(contents: list[int], sets: list[set]) -> list[tuple[int, int]]:
-        label = list(range(len(contents)))
+        parent = list(range(len(sets)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        seen = Counter(s for own in sets for s in own)
         having: dict[int, list[int]] = {}
         links = []
         for i, own in enumerate(sets):
-            shared: dict[int, int] = {}
-            for s in own:
+            # Similar sets share one of so many of their rarest shingles; the most frequent ones need no look.
+            rarest = len(own) - math.ceil(config.similarity * len(own) - 1e-9) + 1
+            for s in sorted(own, key=lambda s: (seen[s], s))[:rarest]:
                 for j in having.get(s, ()):
-                    shared[j] = shared.get(j, 0) + 1
-                having.setdefault(s, []).append(i)
-            for j, both in shared.items():
-                if label[i] != label[j] and both >= config.similarity * (len(own) + len(sets[j]) - both) - 1e-9:
-                    old, new = label[i], label[j]
-                    label = [new if x == old else x for x in label]
-                    links.append((contents[i], contents[j]))
+                    if root(i) != root(j):
+                        both = len(own & sets[j])
+                        if both >= config.similarity * (len(own) + len(sets[j]) - both) - 1e-9:
+                            parent[root(j)] = root(i)
+                            links.append((contents[i], contents[j]))
+                if seen[s] > 1:
+                    having.setdefault(s, []).append(i)
         return links
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +300,9 @@ def similar_links(docs: DataFrame, contents: DataFrame, config: PassageConfig =
     spread = keyed.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("count"))
     spread = spread.where("least <> most AND count > 1").select("key", "count")
     # Only what collides is followed further.
-    colliding = written(keyed.select("key", "content", "low").join(spread, "key"))
+    colliding = written(keyed.select("key", "content").join(spread, "key"))
     # A content has one document that it is read from again, whose text is taken once.
-    wanted = colliding.select("low", "content").distinct().groupBy("low").agg(F.collect_list("content").alias("wanted"))
+    wanted = contents.select("low", "content").join(colliding.select("content").distinct(), "content", "left_semi").groupBy("low").agg(F.collect_list("content").alias("wanted"))
     texts = _numbered(docs).dropDuplicates(["row"]).join(wanted.withColumnRenamed("low", "row"), "row").select("text", "wanted")
     sets = texts.mapInArrow(_shingle_sets(config), "content long, shingles array<long>").dropDuplicates(["content"])
     half = config.group_rows // 2
@@ -326,8 +335,7 @@ def repeated_paragraphs(docs: DataFrame, config: PassageConfig = PassageConfig()
     repeated = linked.join(spread.select("component"), "component", "left_semi").select("content", "component")
     at = paragraphs.select("content", "row", "start", "end", "words")
     found = written(at.join(repeated, "content").select("row", "start", "end", "words", "component"))
-    discard(paragraphs)
-    discard(linked)
+    discard(paragraphs, linked)
     return found
 
 

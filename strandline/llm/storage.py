@@ -42,13 +42,20 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Removes what ``written`` wrote for ``df``, once nothing that isn't written itself needs it; else does nothing."""
-    path = _WRITTEN.pop(df, None)
-    if path:
-        spark = df.sparkSession
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``written`` wrote for these, once nothing that isn't written itself needs them; else does nothing.
+
+    The driver's JVM collects its garbage too: only then does Spark drop the
+    shuffle files of plans that are done with.
+    """
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
