@@ -1,52 +1,99 @@
 """Language identification by words, with backoff to character n-grams.
 
-Defined results: a null text or one without a letter gives language ``und``
-and score 0; so does every text when no labelled row was there to learn from.
-Equal scores go to the language that sorts first. Repeated rows are scored
-alike and all kept. Other columns of the input are passed through untouched.
+A known word scores by its log frequency in each language; another one by the
+mean over its longest known n-grams. The vocabulary is all of a bounded sample
+of labelled rows; none of its words or n-grams is left out. They are kept as
+sorted 64-bit hashes beside a table of scores.
+
+Defined results: a null text or one without a letter gives language ``und``,
+score 0 and depth 0; so does every text when no labelled row was there to learn
+from. Equal scores go to the language that sorts first. Repeated rows are
+scored alike and all kept. Whole texts are scored, in portions of bounded size
+or one text at a time. An empty table gives an empty result. Other columns of
+the input are passed through untouched.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.storage import discard, written
+
 UNKNOWN = "und"
 #: A run of letters; digits and underscores are no letters.
 WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are scored, but not remembered.
-LONG_WORD = 40
-#: Words that one Python worker remembers before it starts afresh.
-REMEMBERED = 150_000
+#: Words, and letters of them, that one Python worker remembers before it starts afresh.
+REMEMBERED, LETTERS = 200_000, 4_000_000
+#: Letters of text that are scored at once, or else one text.
+AT_ONCE = 500_000
 
 
 @dataclass(frozen=True)
 class LangIdConfig:
     #: The classifier is fitted on about this many labelled rows, picked by a hash of their id.
     sample_rows: int = 8_000
-    #: Words, and n-grams of each length, kept per language: those most used.
-    words_per_language: int = 20_000
-    grams_per_language: int = 10_000
     longest_gram: int = 5
     smoothing: float = 0.5
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def word_keys(words: Sequence[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def gram_keys(words: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which word each n-gram is of, and its hash. Words have a mark at both ends."""
+    codes = np.frombuffer("".join([f"_{w}_" for w in words]).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    grams = np.maximum(sizes - n + 1, 0)
+    word = np.repeat(np.arange(len(words)), grams)
+    at = np.arange(len(word)) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(grams) - grams), grams)
+    key = np.full(len(at), np.uint64(n))
+    for k in range(n):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + codes[at + k]
+    return word, _mixed(key)
+
+
 @dataclass
 class LangIdModel:
-    """Log frequencies by language: rows of ``scores``, found through ``words`` and ``grams``."""
+    """Log frequencies by language, of words and of n-grams, beside their sorted hashes."""
 
     languages: list[str]
-    words: dict[str, int] = field(default_factory=dict)
-    grams: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    words: np.ndarray
+    word_scores: np.ndarray
+    grams: np.ndarray
+    gram_scores: np.ndarray
     longest_gram: int = 5
 
+    @classmethod
+    def of(cls, languages: list[str], words: Mapping[str, Sequence[float]], grams: Mapping[str, Sequence[float]], longest_gram: int) -> LangIdModel:
+        """From log frequencies; n-grams are written with "_" for a word's ends."""
+        keys = [word_keys(list(words)), np.array([_one_gram(g) for g in grams], np.uint64)]
+        scores = [np.array(list(x.values()), np.float32).reshape(len(x), len(languages)) for x in (words, grams)]
+        orders = [np.argsort(k) for k in keys]
+        (words_, word_scores), (grams_, gram_scores) = [(k[o], s[o]) for k, s, o in zip(keys, scores, orders, strict=True)]
+        return cls(languages, words_, word_scores, grams_, gram_scores, longest_gram)
+
+
+def _one_gram(gram: str) -> int:
+    word, keys = gram_keys([gram], len(gram))
+    return int(keys[1])  # of the three in "_gram_" the one without the marks
+
 
 def _labelled_sample(labelled: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` of the labelled rows, whatever their number; the same ones each time."""
@@ -57,137 +104,195 @@ def _labelled_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            counts[lang].update(WORD.findall(text.lower()))
+        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "count"])
+
+
+def _unit_counts(longest: int):
+    """``lang, n, key, count`` of the words (n = 0) and their different n-grams, summed over each batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, counts = np.array(batch.column("lang").to_pylist(), object), batch.column("count").to_numpy(zero_copy_only=False)
+            words = batch.column("word").to_pylist()
+            for lang in sorted(set(langs)):
+                own = np.flatnonzero(langs == lang)
+                some, n_of = [words[i] for i in own], counts[own]
+                for n in range(longest + 1):
+                    word, key = gram_keys(some, n) if n else (np.arange(len(some)), word_keys(some))
+                    # An n-gram counts once for a word, so runs of a letter don't outweigh all else.
+                    order = np.lexsort((key, word))
+                    word, key = word[order], key[order]
+                    new = np.ones(len(key), dtype=bool)
+                    new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1])
+                    keys, at = np.unique(key[new], return_inverse=True)
+                    sums = np.bincount(at, n_of[word[new]], len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums)], ["lang", "n", "key", "count"])
+
+    return rows
+
+
 def fit(labelled: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel:
     """Learn from columns ``doc_id, text, lang`` of rows whose text and lang are given.
 
-    What comes to the driver is bounded by the vocabulary sizes in ``config``.
+    What comes to the driver are numbers for the words and n-grams of
+    ``config.sample_rows`` texts, whatever the corpus.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1))
-    words = _labelled_sample(labelled, config.sample_rows).select("lang", word.alias("unit"))
-    # Longer runs of letters are no words to learn from; they are still scored, by their n-grams.
-    words = words.where(F.length("unit") <= LONG_WORD).groupBy("lang", "unit").count()
-    words = words.select("lang", F.lit(0).alias("n"), "unit", "count").persist()
-    padded = F.concat(F.lit("_"), "unit", F.lit("_"))
-    grams = words.select(
-        "lang",
-        F.explode(F.sequence(F.lit(1), F.lit(config.longest_gram))).alias("n"),
-        padded.alias("padded"),
-        "count",
-    )
-    last = F.length("padded") - F.col("n") + 1
-    gram = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("padded"), i, F.col("n")))
-    grams = grams.where(last >= 1).select("lang", "n", F.explode(gram).alias("unit"), "count")
-    grams = grams.where(F.col("unit") != "_").groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit")
-    limit = F.when(F.col("n") == 0, config.words_per_language).otherwise(config.grams_per_language)
-    kept = words.union(grams).withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("place")
-    table = kept.toPandas()
-    words.unpersist()
+    sample = _labelled_sample(labelled, config.sample_rows).select("text", "lang")
+    words = written(sample.mapInArrow(_word_counts, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")))
+    units = words.mapInArrow(_unit_counts(config.longest_gram), "lang string, n int, key long, count long")
+    table = units.groupBy("lang", "n", "key").agg(F.sum("count").alias("count")).toArrow()
+    discard(words)
     return _model(table, config)
 
 
-def _model(table, config: LangIdConfig) -> LangIdModel:
-    languages = sorted(table["lang"].unique())
-    model = LangIdModel(languages, longest_gram=config.longest_gram)
-    blocks, row = [], 0
-    for n, part in sorted(table.groupby("n")):
-        units = {u: i for i, u in enumerate(sorted(part["unit"].unique()))}
-        counts = np.zeros((len(units), len(languages)))
-        where = {name: i for i, name in enumerate(languages)}
-        counts[part["unit"].map(units).to_numpy(), part["lang"].map(where).to_numpy()] = part["count"].to_numpy()
-        total = counts.sum(axis=0) + config.smoothing * len(units)
-        blocks.append(np.log((counts + config.smoothing) / total))
-        (model.grams if n else model.words).update((u, row + i) for u, i in units.items())
-        row += len(units)
-    if blocks:
-        model.scores = np.vstack(blocks)
-    return model
+def _model(table: pa.Table, config: LangIdConfig) -> LangIdModel:
+    languages = sorted(x for x in table["lang"].unique().to_pylist())
+    lang = np.searchsorted(np.array(languages, object), np.array(table["lang"].to_pylist(), object)) if languages else np.zeros(0, np.int64)
+    n, key, count = (table[c].to_numpy() for c in ("n", "key", "count"))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for size in range(config.longest_gram + 1):
+        some = n == size
+        keys, at = np.unique(key[some].view(np.uint64), return_inverse=True)
+        counts = np.zeros((len(keys), len(languages)))
+        counts[at, lang[some]] = count[some]
+        total = counts.sum(axis=0) + config.smoothing * len(keys)
+        found.append((keys, np.log((counts + config.smoothing) / np.maximum(total, 1e-9)).astype(np.float32)))
+    grams = np.concatenate([k for k, _ in found[1:]])
+    scores = np.concatenate([s for _, s in found[1:]])
+    order = np.argsort(grams)
+    return LangIdModel(languages, *found[0], grams[order], scores[order], config.longest_gram)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
-class Scorer(dict):
-    """Maps each word to a row of ``rows``; rows of new words are worked out once."""
+class Scorer:
+    """Scores of words: worked out once each and remembered."""
 
     def __init__(self, model: LangIdModel):
-        super().__init__()
         self.model = model
-        self.rows = np.zeros((0, len(model.languages)))
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.rows = np.zeros((1024, len(self.model.languages)))
+        self.place: dict[str, int] = {}
+        self.letters = 0
+        #: Scores by language, and the depth: length of the n-grams found, or one more for a known word.
+        self.rows = np.zeros((0, len(self.model.languages) + 1))
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.of(word)
-        self[word] = at
-        return at
-
-    def of(self, word: str) -> np.ndarray:
-        """A known word's own log frequencies, else the mean over its longest known n-grams."""
+    def learn(self, words: list[str]) -> None:
         model = self.model
-        if (row := model.words.get(word)) is not None:
-            return model.scores[row]
-        padded = f"_{word}_"
-        for n in range(min(model.longest_gram, len(padded)), 0, -1):
-            found = [model.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in model.grams]
-            if found:
-                return model.scores[found].mean(axis=0)
-        return np.zeros(len(model.languages))
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.model.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        if max(map(len, words)) > LONG_WORD:
-            rest = sum((self.of(w) for w in words if len(w) > LONG_WORD), np.zeros(self.rows.shape[1]))
-            short = [w for w in words if len(w) <= LONG_WORD]
-        else:
-            rest, short = 0.0, words
-        at = np.fromiter(map(self.__getitem__, short), np.int64, len(short))
-        total = (self.rows[at].sum(axis=0) + rest) / np.sqrt(len(words))  # words of a text aren't independent
-        if len(self) > REMEMBERED:
-            self.forget()
-        share = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(share[best] / share.sum())
+        rows = np.zeros((len(words), len(model.languages) + 1))
+        at = _find(model.words, word_keys(words))
+        known = at >= 0
+        rows[known, :-1], rows[known, -1] = model.word_scores[at[known]], model.longest_gram + 1
+        left = np.flatnonzero(~known)
+        for n in range(model.longest_gram, 0, -1):
+            if not len(left):
+                break
+            word, keys = gram_keys([words[i] for i in left.tolist()], n)
+            at = _find(model.grams, keys)
+            word, at = word[at >= 0], at[at >= 0]
+            have = np.bincount(word, minlength=len(left))
+            some = have > 0
+            for j in range(len(model.languages)):
+                rows[left[some], j] = np.bincount(word, model.gram_scores[at, j], len(left))[some] / have[some]
+            rows[left[some], -1] = n
+            left = left[~some]
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.rows = np.concatenate([self.rows, rows])
+        self.letters += sum(map(len, words))
 
+    def of(self, word: str) -> np.ndarray:
+        return self.score_words([[word]])[0][:-1]
 
-RESULT = "struct<lang_pred: string, score: double>"
+    def score_words(self, texts: list[list[str]]) -> np.ndarray:
+        """Of each text the sums of its words' rows."""
+        if len(self.place) > REMEMBERED or self.letters > LETTERS:
+            self.forget()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        words = [w for t in texts for w in t]
+        if new := [w for w in dict.fromkeys(words) if w not in self.place]:
+            self.learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        sums = np.zeros((len(texts), self.rows.shape[1]))
+        full = sizes > 0
+        if len(words):
+            sums[full] = np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+        return sums
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Of each text its language, how sure that is, and how deep its words are known: their mean depth."""
+        out: list[tuple[str, float, float]] = []
+        first, held = 0, 0
+        for i, text in enumerate([*texts, None]):
+            if i == len(texts) or held and held + len(text or "") > AT_ONCE:
+                out += self._portion(texts[first:i])
+                first, held = i, 0
+            held += len(text or "")
+        return out
+
+    def _portion(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        sums = self.score_words(words)
+        total = sums[:, :-1] / np.sqrt(np.maximum(n, 1))[:, None]  # words of a text aren't independent
+        best = total.argmax(axis=1)
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        share = share[np.arange(len(best)), best] / share.sum(axis=1)
+        depth = sums[:, -1] / np.maximum(n, 1)
+        # The pattern takes some numerals, such as "Ⅷ" or "²", for words.
+        lettered = [bool(w) and (w[0].isalpha() or any(map(str.isalpha, t))) for w, t in zip(words, texts, strict=True)]
+        return [(self.model.languages[b], float(s), float(d)) if ok and k else (UNKNOWN, 0.0, 0.0) for b, s, d, ok, k in zip(best.tolist(), share, depth, lettered, n.tolist(), strict=True)]
+
+
+RESULT = "struct<lang_pred: string, score: double, depth: double>"
 
 
 def identify(text: Column, model: Broadcast) -> Column:
-    """A struct ``lang_pred, score`` for each text, under a broadcast model."""
+    """A struct ``lang_pred, score, depth`` for each text, under a broadcast model."""
     scorers: list[Scorer] = []
 
     def udf(texts: pa.Array) -> pa.Array:
         if not scorers:
             scorers.append(Scorer(model.value))
-        found = [scorers[0].score(t) for t in texts.to_pylist()]
-        names, scores = zip(*found, strict=True) if found else ((), ())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        found = scorers[0].score(texts.to_pylist())
+        names, scores, depths = zip(*found, strict=True) if found else ((), (), ())
+        columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(depths, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "depth"])
 
     return F.arrow_udf(udf, RESULT)(text)
 
 
 def broadcast_model(spark: SparkSession, model: LangIdModel) -> Broadcast:
-    """The model's size is bounded by the vocabulary sizes it was fitted with."""
+    """The model's size is bounded by the number of labelled rows it was fitted on."""
     return spark.sparkContext.broadcast(model)
 
 
-def keep_identified(docs: DataFrame, least_lead: float = 1e-9, config: LangIdConfig = LangIdConfig()) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; columns as they are.
+def keep_identified(docs: DataFrame, least_depth: float = 4.6, config: LangIdConfig = LangIdConfig()) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that labelled rows have; columns as they are.
 
-    Texts without a letter go, and those that no language leads in: whose best
-    score is not ``least_lead`` above even odds, as in a script that no labelled
-    row has. Short texts of any learned language stay. Without labelled rows of
-    two languages nothing can be judged, and only texts without a letter go.
+    Texts without a letter go, and those whose words are known less deep than
+    ``least_depth`` on average: in texts of a learned language, words are known
+    whole or by 5-grams (depth 5 to 6); in texts of another, or of no language,
+    mostly by shorter ones. Without labelled rows nothing can be judged, and
+    only texts without a letter go.
     """
     model = fit(docs, config)
-    if len(model.languages) < 2:
+    if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = identify(F.col("text"), broadcast_model(docs.sparkSession, model))
-    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= 1 / len(model.languages) + least_lead))
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["depth"] >= least_depth))

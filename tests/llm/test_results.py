@@ -58,15 +58,70 @@ def test_op1_on_held_out_rows(spark, sf_dir, documents):
 
 
 def test_word_first_backoff():
-    scores = np.log([[0.9, 0.1], [0.2, 0.8], [0.3, 0.7]])
-    model = langid.LangIdModel(["a", "b"], {"known": 0}, {"_kn": 1, "wn_": 2, "x": 0}, scores, 3)
+    a, b, c, d = np.log([[0.9, 0.1], [0.2, 0.8], [0.3, 0.7], [0.6, 0.4]]).tolist()
+    model = langid.LangIdModel.of(["a", "b"], {"known": a}, {"_kn": b, "wn_": c, "x": d}, 3)
     scorer = langid.Scorer(model)
-    assert np.allclose(scorer.of("known"), scores[0])
-    assert np.allclose(scorer.of("kn"), scores[1])  # the only known 3-gram
-    assert np.allclose(scorer.of("knwn"), (scores[1] + scores[2]) / 2)
-    assert np.allclose(scorer.of("axa"), scores[0])  # down to a single letter
+    assert np.allclose(scorer.of("known"), a)
+    assert np.allclose(scorer.of("kn"), b)  # the only known 3-gram
+    assert np.allclose(scorer.of("knwn"), np.mean([b, c], axis=0))
+    assert np.allclose(scorer.of("axa"), d)  # down to a single letter
     assert not scorer.of("zzz").any()
-    assert scorer.score("KNOWN known") == scorer.score("known  known") and scorer.score("1_2")[0] == "und"
+    assert scorer.score(["KNOWN known"]) == scorer.score(["known  known"]) and scorer.score(["1_2", None, "²"]) == [("und", 0.0, 0.0)] * 3
+    assert scorer.score(["known zzz kn axa"])[0][2] == pytest.approx((4 + 0 + 3 + 1) / 4)
+
+
+def test_op1_scores_equal_brute_force(spark, sf_dir, documents):
+    """Scores of all texts from the definition, with dictionaries of all words and n-grams."""
+    counts = defaultdict(lambda: defaultdict(Counter))  # by length of n-grams, 0 for words; by language
+    for i, d in documents.items():
+        if zlib.crc32(str(i).encode()) % 5 and d["text"] is not None and d["lang"] is not None:
+            for w in re.findall(r"[^\W\d_]+", d["text"].lower()):
+                counts[0][d["lang"]][w] += 1
+    languages = sorted(counts[0])
+    for lang in languages:
+        for w, k in counts[0][lang].items():
+            for n in range(1, 6):
+                for g in {f"_{w}_"[j : j + n] for j in range(len(w) + 3 - n)}:
+                    counts[n][lang][g] += k
+    units = {n: set().union(*counts[n].values()) for n in counts}
+    total = {n: {x: sum(counts[n][x].values()) + 0.5 * len(units[n]) for x in languages} for n in counts}
+
+    def of(w):
+        for n, found in ((0, [w]), *((n, [f"_{w}_"[j : j + n] for j in range(len(w) + 3 - n)]) for n in range(5, 0, -1))):
+            found = [g for g in found if g in units[n]]
+            if found:
+                return [sum(math.log((counts[n][x][g] + 0.5) / total[n][x]) for g in found) / len(found) for x in languages]
+        return [0.0] * len(languages)
+
+    for r in QUERIES["op1_language_id"](spark, sf_dir).collect():
+        words = re.findall(r"[^\W\d_]+", (documents[r["doc_id"]]["text"] or "").lower())
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sums = [sum(x) / math.sqrt(len(words)) for x in zip(*map(of, words), strict=True)]
+        odds = np.exp(np.array(sums) - max(sums))
+        assert r["score"] == pytest.approx(odds.max() / odds.sum(), abs=1e-3)
+        assert sums[languages.index(r["lang_pred"])] == pytest.approx(max(sums), abs=1e-3)
+
+
+# Texts of languages that no labelled row has, and of none.
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "xqzvk jjwpt qqrst zzkvw bnmvc lkjhg fdsaq wrtyp xcvbn mnbvc qwrtp",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Q Zm9vYmFyYmF6cXV4 U3BhcmtJc0dyZWF0 eHl6enlwbHVnaA",
+]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_language_stage_drops_other_languages_only(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    some = spark.createDataFrame([(-1 - i, t, None, None, None) for i, t in enumerate([*FOREIGN, None, "", "123 !!"])], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(some), "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect())
 
 
 def slow_fingerprint(text, words=3):
@@ -602,14 +657,7 @@ def test_pipeline_stages(spark, sf_dir, documents):
     kept = stages["language_id"](spark, docs, sf_dir)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, d in documents.items() if re.search(r"[^\W\d_]", d["text"] or "")}
-    once = stages["simhash_near_dedup"](spark, docs, sf_dir).collect()
     ids = sorted(documents)
-    fps = [slow_fingerprint(documents[i]["text"], 5) for i in ids]
-    roots = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
-    least = {}
-    for i, r in zip(ids, roots, strict=True):
-        least[r] = min(i, least.get(r, i))
-    assert sorted(r["doc_id"] for r in once) == sorted(least.values())
     safe = {r["doc_id"]: r["text"] for r in stages["pii_redaction"](spark, docs, sf_dir).collect()}
     assert len(safe) == len(ids) and all((safe[i] == documents[i]["text"]) == (not pii.spans_of(documents[i]["text"])[1]) for i in ids)
     assert not any(base_spans(t) for t in safe.values())
