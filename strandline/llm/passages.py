@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
+from strandline.llm.groups import dealt, links_of_groups
 from strandline.llm.storage import discard, written
 
 
@@ -224,51 +224,6 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _similar(config: PassageConfig):
-    """Over rows sorted by group: links that join all similar paragraphs of a group. Holds one group, which is bounded."""
-
-    def forest(contents: list[int], sets: list[set]) -> list[tuple[int, int]]:
-        parent = list(range(len(sets)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        seen = Counter(s for own in sets for s in own)
-        having: dict[int, list[int]] = {}
-        links = []
-        for i, own in enumerate(sets):
-            # Similar sets share one of so many of their rarest shingles; the most frequent ones need no look.
-            rarest = len(own) - math.ceil(config.similarity * len(own) - 1e-9) + 1
-            for s in sorted(own, key=lambda s: (seen[s], s))[:rarest]:
-                for j in having.get(s, ()):
-                    if root(i) != root(j):
-                        both = len(own & sets[j])
-                        if both >= config.similarity * (len(own) + len(sets[j]) - both) - 1e-9:
-                            parent[root(j)] = root(i)
-                            links.append((contents[i], contents[j]))
-                if seen[s] > 1:
-                    having.setdefault(s, []).append(i)
-        return links
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, contents, sets = None, [], []
-        for batch in batches:
-            links = []
-            for g, c, s in zip(batch.column("group").to_pylist(), batch.column("content").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                if g != group:
-                    links += forest(contents, sets)
-                    group, contents, sets = g, [], []
-                contents.append(c)
-                sets.append(set(s))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
-        links = forest(contents, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return compare
-
-
 def _shingle_sets(config: PassageConfig):
     """``content, shingles`` of the wanted paragraphs of each text."""
 
@@ -305,16 +260,9 @@ def similar_links(docs: DataFrame, contents: DataFrame, config: PassageConfig =
     wanted = contents.select("low", "content").join(colliding.select("content").distinct(), "content", "left_semi").groupBy("low").agg(F.collect_list("content").alias("wanted"))
     texts = _numbered(docs).dropDuplicates(["row"]).join(wanted.withColumnRenamed("low", "row"), "row").select("text", "wanted")
     sets = texts.mapInArrow(_shingle_sets(config), "content long, shingles array<long>").dropDuplicates(["content"])
-    half = config.group_rows // 2
-    few = F.col("count") <= config.group_rows
-    parts = F.ceil(F.col("count") / half).cast("int")
-    part = F.when(few, 0).otherwise(F.pmod(F.xxhash64("content", F.lit(7)), parts)).cast("int").alias("part")
-    other = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
-    dealt = colliding.select("key", "content", part, F.explode(other).alias("other"))
-    group = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group")
-    grouped = dealt.select(group, "content").join(sets, "content").select("group", "content", "shingles")
+    grouped = dealt(colliding, "content", config.group_rows).join(sets, "content").select("group", "content", "shingles")
     ordered = grouped.repartition("group").sortWithinPartitions("group")
-    links = written(ordered.mapInArrow(_similar(config), "a long, b long"))
+    links = written(ordered.mapInArrow(links_of_groups(config.similarity, lambda x: set(x.values.to_pylist())), "a long, b long"))
     discard(colliding)
     return links.distinct()
 

@@ -2,7 +2,7 @@
 
 Defined results: a null text or one without words has fingerprint zero and is
 linked like any other; fewer words than a shingle has make one shingle of all
-of them. Rows with equal ids, or without one, are separate documents for
+of them. Whole texts count, however long; an empty table gives an empty result. Rows with equal ids, or without one, are separate documents for
 ``drop_near_duplicates``; a component without any id has a null id. Extra
 columns are ignored by ``components_of`` and kept by ``drop_near_duplicates``.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
+from strandline.llm.groups import dealt
 from strandline.llm.storage import written
 
 BITS = 64
@@ -139,14 +140,8 @@ def close_links(fingerprints: DataFrame, config: SimHashConfig = SimHashConfig()
     keyed = fingerprints.select("fp", F.explode(keys).alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1")
     keyed = keyed.join(shared, "key")
-    half = config.group_rows // 2
-    parts = F.ceil(F.col("count") / half).cast("int")
-    part = F.when(F.col("count") <= config.group_rows, 0).otherwise(F.pmod(F.xxhash64("fp", F.lit(7)), parts))
-    other = F.when(F.col("count") <= config.group_rows, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
-    dealt = keyed.select("key", "fp", part.cast("int").alias("part"), F.explode(other).alias("other"))
-    group = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group")
-    dealt = dealt.select(group, "fp").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(_links_of_groups(config.most_bits), "a long, b long").distinct()
+    ordered = dealt(keyed, "fp", config.group_rows).repartition("group").sortWithinPartitions("group")
+    return ordered.mapInArrow(_links_of_groups(config.most_bits), "a long, b long").distinct()
 
 
 def components_of(fingerprints: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
