@@ -43,11 +43,16 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old shards follow the source, so a large source has made one of them large; new ones are even in bytes."""
+    """Old shards follow the source, so a large source has made one of them large; new ones are even in bytes.
+
+    All is derived from the shards' files, read back after the move.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = shards.reshard(docs, F.xxhash64("source"))
+    text = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
-    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("old").alias("old_shard"))
+    return found.select("doc.doc_id", size, crc, law, "shard", "slot", grown, F.col("old").alias("old_shard"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,14 +234,24 @@ def test_cheapest_flow():
         shards.cheapest_flow([5], [4], lambda i, j: 0)
 
 
-def test_rewrite_touches_affected_shards_only(spark, tmp_path):
+def test_rewrite_touches_affected_files_only(spark, tmp_path):
     docs = make(spark, [(i, "x" * (9 if i % 4 else 99), None, str(i % 4)) for i in range(80)])
-    even = shards.reshard(docs.drop("row"), (F.col("doc_id") % 4).cast("int"), shards.ShardConfig(shards=4, blocks=4))
-    assert shards.affected_shards(even) == [0, 1, 2, 3]
-    still = shards.rewrite(docs.where("doc_id % 4 <> 0").drop("row"), (F.col("doc_id") % 4).cast("int") - 1, str(tmp_path / "out"), shards.ShardConfig(shards=3, blocks=4))
-    assert shards.affected_shards(still) == [] and still.count() == 60
-    shards.rewrite(docs.drop("row"), (F.col("doc_id") % 4).cast("int"), str(tmp_path / "out2"), shards.ShardConfig(shards=4, blocks=4))
-    assert spark.read.parquet(str(tmp_path / "out2")).count() == 80
+    docs = docs.withColumns({c: F.lit(5) for c in ("shard", "slot", "old", "file", "chunk", "at", "new", "doc")}).repartition(6)
+    config, doc = shards.ShardConfig(shards=4, chunk_rows=2), docs.schema
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    shards.write_shards(docs, (F.col("doc_id") % 4).cast("int"), old, config)
+    ranges = shards.assign(spark, old, doc, config)
+    shards.rewrite(spark, old, new, doc, ranges, config)
+    found = shards.read_shards(spark, old, new, doc, ranges, config).collect()
+    assert sorted((tuple(r["doc"]) for r in found), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    sizes = Counter()
+    for r in found:
+        sizes[r["shard"]] += len(r["doc"]["text"]) + 1
+    assert max(sizes.values()) - min(sizes.values()) <= 200 and all(sorted(r["slot"] for r in found if r["shard"] == j) == list(range(sum(r["shard"] == j for r in found))) for j in range(4))
+    moved = {(r["old"], r["file"]) for r in shards.affected_files(ranges).collect()}
+    assert {o for o, _ in moved} == {0} and spark.read.parquet(new).count() == sum(r["high"] - r["low"] + 1 for r in ranges.collect() if (r["old"], r["file"]) in moved)
+    even = [(i, "x" * 9, None, str(i % 4)) for i in range(80)]
+    assert all(r["old"] == r["shard"] for r in shards.reshard(make(spark, even), (F.col("doc_id") % 4).cast("int"), config).collect())
 
 
 def test_op5_ids_and_places(spark, sf_dir, documents):
