@@ -1,7 +1,7 @@
 """Exact top-k search by inner product, with distributed histogram selection.
 
 Queries are taken in blocks of a fixed size; each block is scored against every
-candidate. Histograms of the scores, summed over all tasks, show in which bin
+candidate in one pass, and its results are appended to one folder. Histograms of the scores, summed over all tasks, show in which bin
 each query's k-th score lies; that bin is refined until few candidates are left
 or it holds one value. Only then are candidates collected, by score and id.
 
@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.storage import written
+from strandline.llm.storage import shared_folder
 
 
 @dataclass(frozen=True)
 class TopKConfig:
     k: int = 5
     scale: float = 256.0
-    #: Queries that every task holds at once.
-    query_rows: int = 4096
+    #: Queries of a pass over the candidates, which every task holds with a histogram each.
+    query_rows: int = 16_384
+    #: Queries and candidates whose scores are worked out at once.
+    score_rows: int = 2048
     candidate_rows: int = 1024
     bins: int = 512
     #: A bin is not refined further when no more candidates than this reach it.
@@ -49,16 +51,18 @@ def _numbers(batch: pa.RecordBatch, scale: float, length: int) -> tuple[np.ndarr
 
 
 def _scored(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray, config: TopKConfig):
-    """Ids and the scores of all queries, for some candidates at a time; a query's own row scores minus infinity."""
+    """The place of the first of some queries, ids of some candidates, and their scores; a query's own row scores minus infinity."""
     for batch in batches:
         ids, vectors = _numbers(batch, config.scale, queries.shape[1])
         for a in range(0, len(ids), config.candidate_rows):
-            some = ids[a : a + config.candidate_rows]
-            scores = queries @ vectors[a : a + config.candidate_rows].T
-            place = np.clip(np.searchsorted(query_ids, some), 0, len(query_ids) - 1)
-            own = np.flatnonzero(query_ids[place] == some)
-            scores[place[own], own] = -np.inf
-            yield some, scores
+            some, across = ids[a : a + config.candidate_rows], vectors[a : a + config.candidate_rows].T
+            for q in range(0, len(queries), config.score_rows):
+                own_ids = query_ids[q : q + config.score_rows]
+                scores = queries[q : q + config.score_rows] @ across
+                place = np.clip(np.searchsorted(own_ids, some), 0, len(own_ids) - 1)
+                own = np.flatnonzero(own_ids[place] == some)
+                scores[place[own], own] = -np.inf
+                yield q, some, scores
 
 
 def _histograms(query: tuple, low: np.ndarray, high: np.ndarray, width: np.ndarray, config: TopKConfig):
@@ -67,11 +71,12 @@ def _histograms(query: tuple, low: np.ndarray, high: np.ndarray, width: np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, bins = len(low), config.bins
         counts = np.zeros(n * bins, dtype=np.int64)
-        base = (np.arange(n) * bins)[:, None]
-        for _, scores in _scored(batches, *query.value, config):
-            place = np.floor((scores - low[:, None]) / width[:, None])
-            inside = (place >= 0) & (place < bins) & (scores < high[:, None])  # bins may reach past high
-            counts += np.bincount((place + base)[inside].astype(np.int64), minlength=n * bins)
+        for q, _, scores in _scored(batches, *query.value, config):
+            at = slice(q, q + len(scores))
+            place = np.floor((scores - low[at, None]) / width[at, None])
+            inside = (place >= 0) & (place < bins) & (scores < high[at, None])  # bins may reach past high
+            base = (np.arange(len(scores)) * bins)[:, None]
+            counts[q * bins : (q + len(scores)) * bins] += np.bincount((place + base)[inside].astype(np.int64), minlength=len(scores) * bins)
         table = counts.reshape(n, bins)
         above = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
         q, b = np.nonzero((table > 0) & (above < config.k))
@@ -85,6 +90,7 @@ def _reaching(query: tuple, low: np.ndarray, config: TopKConfig):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
+        limit = 4 * config.k * max(1, len(low))
 
         def best(rows: list[np.ndarray]) -> list[np.ndarray]:
             q, ids, scores = rows
@@ -94,9 +100,13 @@ def _reaching(query: tuple, low: np.ndarray, config: TopKConfig):
             top = np.arange(len(q)) - first < config.k
             return [q[top], ids[top], scores[top]]
 
-        for ids, scores in _scored(batches, *query.value, config):
-            q, c = np.nonzero(scores >= low[:, None])
-            kept = best([np.r_[a, b] for a, b in zip(kept, (q, ids[c], scores[q, c].astype(np.int64)), strict=True)])
+        for at, ids, scores in _scored(batches, *query.value, config):
+            q, c = np.nonzero(scores >= low[at : at + len(scores), None])
+            if len(q):
+                kept = [np.concatenate([a, b]) for a, b in zip(kept, (q + at, ids[c], scores[q, c].astype(np.int64)), strict=True)]
+                if len(kept[0]) > limit:
+                    kept = best(kept)
+        kept = best(kept)
         yield pa.RecordBatch.from_arrays([pa.array(query.value[0][kept[0]], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.int64())], ["query_id", "vec_id", "score"])
 
     return find
@@ -113,11 +123,12 @@ def _largest_norm(length: int, config: TopKConfig):
     return largest
 
 
-def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: float, config: TopKConfig) -> DataFrame | None:
+def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: float, config: TopKConfig, path: str) -> None:
+    """Appends ``query_id, rank, vec_id, score`` of a block of queries to ``path``."""
     spark = candidates.sparkSession
     parts = [p for b in block.to_batches() if len((p := _numbers(b, config.scale, length))[0])]
     if not parts:
-        return None
+        return
     ids, vectors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     ids, first = np.unique(ids, return_index=True)
     vectors = vectors[first]
@@ -146,7 +157,8 @@ def _search_block(candidates: DataFrame, block: pa.Table, length: int, norm: flo
             going[q] = width[q] > 1 and config.k - need[q] + at["n"] > config.few
     reaching = candidates.mapInArrow(_reaching(query, low, config), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
-    return written(reaching.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= config.k))
+    reaching.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= config.k).write.mode("append").parquet(path)
+    query.destroy()
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, config: TopKConfig = TopKConfig()) -> DataFrame:
@@ -156,18 +168,21 @@ def exact_top_k(vectors: DataFrame, is_query: Column, config: TopKConfig = TopKC
     a task or the driver holds. Candidates are never shuffled.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    queries = rows.where(F.col("vec_id").isNotNull() & is_query)
-    result = None
-    sizes = queries.groupBy(F.size("embedding").alias("length")).count().where("length > 0").orderBy("length").collect()
+    queries = rows.where(F.col("vec_id").isNotNull() & is_query).withColumn("length", F.size("embedding")).where("length > 0")
+    sizes = queries.groupBy("length").count().orderBy("length").collect()
+    path = shared_folder(vectors.sparkSession)
     for length, count in [(r["length"], r["count"]) for r in sizes]:
         norm = rows.mapInArrow(_largest_norm(length, config), "most double").agg(F.max("most")).first()[0]
         blocks = -(-count // config.query_rows)
-        dealt = queries.where(F.size("embedding") == length).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        dealt = queries.where(F.col("length") == length).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        # A block is read from its own files, not filtered out of all queries each time.
+        dealt_path = shared_folder(vectors.sparkSession)
+        dealt.drop("length").write.partitionBy("block").parquet(dealt_path)
+        dealt = vectors.sparkSession.read.schema("vec_id long, embedding array<double>, block long").parquet(dealt_path)
         for b in range(blocks):
             block = dealt.where(F.col("block") == b).drop("block").toArrow()
-            found = _search_block(rows, block, length, float(np.sqrt(norm or 0.0)), config)
-            if found is not None:
-                result = found if result is None else result.unionByName(found)
-    if result is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return result
+            _search_block(rows, block, length, float(np.sqrt(norm or 0.0)), config, path)
+    schema = "query_id long, rank int, vec_id long, score long"
+    empty = vectors.sparkSession.createDataFrame([], schema)
+    empty.write.mode("append").parquet(path)  # so that there is a folder
+    return vectors.sparkSession.read.schema(schema).parquet(path)

@@ -638,7 +638,7 @@ def test_op10_ties_copies_and_bad_vectors(spark):
     vectors = [[float(i % 3), 1.0] for i in range(60)]
     table = [(i, v) for i, v in enumerate(vectors)] + [(200, [float("nan"), 1.0]), (201, None), (202, [None, 1.0]), (None, [9.0, 9.0]), (250, [1.0]), (300, [5.0, 1.0]), (300, [5.0, 1.0]), (1, [0.0, 50.0])]
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
-    got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, topk.TopKConfig(query_rows=2, candidate_rows=7, bins=4, few=2)).collect()
+    got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, topk.TopKConfig(query_rows=3, score_rows=2, candidate_rows=7, bins=4, few=2)).collect()
     usable = [(i, np.floor(256 * np.array(v))) for i, v in table if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     for q, qv in {i: v for i, v in usable if i % 50 == 0}.items():
         want = sorted(((-int(qv @ v), i) for i, v in usable if i != q and len(v) == len(qv)))[:5]
