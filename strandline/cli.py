@@ -15,14 +15,14 @@ from strandline.operators.framediff import top_scores
 from strandline.plans.segment import segment
 from strandline.session import local_session
 from strandline.sinks import files
-from strandline.sources.devices import SOFTWARE_ENCODERS
+from strandline.sources.devices import SOFTWARE_ENCODERS, choose_encoder, run_text
 from strandline.sources.scores import check_contiguous, read_scores
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="strandline")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, text in (("segment", "segments, coverage and a viewer"), ("top", "the largest scores"), ("clips", "a clip for each segment")):
+    for name, text in (("segment", "segments, coverage and a viewer"), ("top", "the largest scores"), ("clips", "a clip for each segment"), ("export", "a clip for each segment, and all joined")):
         part = sub.add_parser(name, help=text)
         part.add_argument("scores", nargs="?", help="score CSV; without it, the first *.csv by name")
         part.add_argument("--video", default="")
@@ -58,6 +58,13 @@ def main(args: Sequence[str] | None = None) -> int:
         return 0
     plan = clips.clip_plan(done.segments, done.fps)
     sources = done.fps.select("series_id", F.lit(given.video).alias("path"))
+    if given.command == "export":
+        cutter = clips.FfmpegCutter()
+        encoders = [choose_encoder(run_text([cutter.program, "-hide_banner", "-encoders"])), *SOFTWARE_ENCODERS]
+        exported = clips.export(plan, sources, given.out, cutter, list(dict.fromkeys(encoders)), tasks=given.workers).collect()
+        for r in exported:
+            print(f"{r['series_id']}: {r['cut']} cut, {r['failed']} failed, {'joined' if r['joined'] else r['error']}")
+        return 0 if any(r["joined"] for r in exported) else 1
     results = clips.cut_clips(plan, sources, given.out, clips.FfmpegCutter(), SOFTWARE_ENCODERS, given.workers).persist()
     count = files.write_clip_index(clips.clip_index(plan, results), os.path.join(given.out, "clips.csv"))
     clips.outcome(results).show()

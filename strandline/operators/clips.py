@@ -1,15 +1,19 @@
 """Plans for cutting clips, and carrying them out.
 
 Cutting is a side effect in tasks. A task may run twice, so a cutter writes to
-a name of its own and renames; names depend on the segment only.
+a name of its own and renames; names depend on the series and segment only, and
+each series has a folder of its own.
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,8 +62,7 @@ class FfmpegCutter:
         return [self.program, "-y", "-i", source, "-ss", f"{start:.6f}", "-t", f"{duration:.6f}", "-c:v", encoder, *options, "-c:a", "aac", target]
 
     def __call__(self, source: str, start: float, duration: float, target: str, encoder: str) -> tuple[bool, str]:
-        folder, name = os.path.split(target)
-        part = os.path.join(folder, f".{os.getpid()}-{name}")
+        part = part_of(target)
         try:
             done = subprocess.run(self.command(source, start, duration, part, encoder), capture_output=True, text=True, timeout=self.timeout, check=False)
             if done.returncode == 0:
@@ -67,10 +70,59 @@ class FfmpegCutter:
             return done.returncode == 0, done.stderr[-self.said :]
         except (OSError, subprocess.SubprocessError) as error:
             return False, str(error)[-self.said :]
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+
+
+def part_of(target: str) -> str:
+    """A name beside ``target`` that no other attempt, on any host, writes to."""
+    folder, name = os.path.split(target)
+    return os.path.join(folder, f".{uuid.uuid4().hex}-{name}")
+
+
+@dataclass(frozen=True)
+class FrameCutter:
+    """Cuts frame by frame with a decoder and a writer that are passed in, where there is no ffmpeg.
+
+    ``read`` gives a source's frame by number, or None where reading fails,
+    which ends the clip; ``write`` gets a target, frames and their rate. Both
+    end frames belong to the clip. It worked if any frame was written.
+    """
+
+    read: Callable[[str, int], Any]
+    write: Callable[[str, Iterable[Any], float], None]
+    fps: float = 30.0
+
+    def __call__(self, source: str, start: float, duration: float, target: str, encoder: str) -> tuple[bool, str]:
+        first = round(start * self.fps)
+        written = 0
+
+        def frames() -> Iterator[Any]:
+            nonlocal written
+            for n in range(first, first + round(duration * self.fps) + 1):
+                frame = self.read(source, n)
+                if frame is None:
+                    return
+                written += 1
+                yield frame
+
+        part = part_of(target)
+        self.write(part, frames(), self.fps)
+        if written:
+            os.replace(part, target)
+        elif os.path.exists(part):
+            os.remove(part)
+        return written > 0, "" if written else "no frame could be read"
+
+
+def series_folder(folder: str, series_id: str | None) -> str:
+    """Where a series has its clips."""
+    return os.path.join(folder, quote(series_id or "", safe=" ").replace(".", "%2E") or "%")
 
 
 def cut_clips(plan: DataFrame, sources: DataFrame, folder: str, cut: Cutter, encoders: Sequence[str], tasks: int = 8) -> DataFrame:
-    """``series_id, seg_index, clip, ok, error``: each planned clip cut by the first encoder that works.
+    """``series_id, seg_index, clip, ok, error``: each planned clip cut by the first encoder that works, into its series' folder.
 
     ``sources`` has ``series_id, path``.
     """
@@ -80,8 +132,10 @@ def cut_clips(plan: DataFrame, sources: DataFrame, folder: str, cut: Cutter, enc
             rows = []
             for r in part.itertuples():
                 ok, said = False, "no encoder"
+                target = series_folder(folder, r.series_id)
+                os.makedirs(target, exist_ok=True)
                 for encoder in encoders:
-                    ok, said = cut(r.path, r.start_sec, r.duration_sec, os.path.join(folder, r.clip), encoder)
+                    ok, said = cut(r.path, r.start_sec, r.duration_sec, os.path.join(target, r.clip), encoder)
                     if ok:
                         break
                 rows.append((r.series_id, r.seg_index, r.clip, ok, None if ok else said))
@@ -117,3 +171,37 @@ def join_clips(listing_path: str, target: str, program: str | None = None, timeo
     except (OSError, subprocess.SubprocessError) as error:
         return False, str(error)
     return done.returncode == 0, done.stderr[-300:]
+
+
+#: From (listing, target) to whether joining worked and what was said.
+Joiner = Callable[[str, str], tuple[bool, str]]
+
+
+def export(
+    plan: DataFrame, sources: DataFrame, folder: str, cut: Cutter, encoders: Sequence[str], join: Joiner = join_clips, tasks: int = 8, keep_clips: bool = True, name: str = "joined.mp4"
+) -> DataFrame:
+    """Cuts all clips, writes each series' listing, and joins its clips: ``series_id, cut, failed, joined, error``.
+
+    The encoders are tried in turn for each clip. ``folder`` is one that all
+    executors share. Clips that were joined are removed unless ``keep_clips``;
+    those of a series that couldn't be joined stay.
+    """
+    results = cut_clips(plan, sources, folder, cut, encoders, tasks)
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        series_id, target = part["series_id"].iloc[0], series_folder(folder, part["series_id"].iloc[0])
+        done = part[part["ok"]].sort_values("seg_index")
+        joined, said = False, "no clip was cut"
+        if len(done):
+            listing = os.path.join(target, "clips.txt")
+            lines = ["file '" + clip.replace("'", "'\\''") + "'" for clip in done["clip"]]
+            with open(listing, "w", encoding="utf-8") as out:
+                out.write("\n".join(lines) + "\n")
+            joined, said = join(listing, os.path.join(target, name))
+            if joined and not keep_clips:
+                for path in [listing, *(os.path.join(target, c) for c in done["clip"])]:
+                    if os.path.exists(path):
+                        os.remove(path)
+        return pd.DataFrame([(series_id, len(done), len(part) - len(done), joined, None if joined else said)], columns=["series_id", "cut", "failed", "joined", "error"])
+
+    return results.groupBy("series_id").applyInPandas(finish, "series_id string, cut long, failed long, joined boolean, error string")

@@ -24,7 +24,6 @@ EVEN = WindowFrames(smooth=12, merge_gap=3, min_length=10, chunk=1 << 14)
 THRESHOLD = 25.0
 FPS = 30.0
 STEPS = 5
-FEATURES = 500
 SIMILARITY = 0.05
 
 
@@ -113,7 +112,10 @@ def segments_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _scores(spark, sf_dir)
-    found = segment.segments_with(scores, mixture.threshold(_mixture(spark, sf_dir)).select("series_id", "threshold"), FRAMES)
+    # The threshold is worked out once: the plan of the segments would repeat the fit wherever it is used.
+    threshold = mixture.threshold(_mixture(spark, sf_dir)).select("series_id", "threshold")
+    threshold = spark.createDataFrame(threshold.collect(), threshold.schema)  # one row
+    found = segment.segments_with(scores, threshold, FRAMES)
     rows = report.segment_rows(found, _one_fps(spark))
     return rows.select(F.col("index").alias("seg_index"), "start_frame", "end_frame", "start_sec", "end_sec", "duration_sec")
 
@@ -148,7 +150,8 @@ def color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
     middle = segments.select("series_id", columns.middle_frame(F.col("start_frame"), F.col("end_frame")).alias("frame")).distinct()
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("hist"))
-    return middle.join(vectors, F.col("frame") % FEATURES == F.col("vec_id")).select("series_id", "frame", "hist")
+    count = vectors.agg(F.count("*").alias("vectors"))  # one row
+    return middle.crossJoin(F.broadcast(count)).join(vectors, F.col("frame") % F.col("vectors") == F.col("vec_id")).select("series_id", "frame", "hist")
 
 
 def anchor_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +298,7 @@ _ANCHORS = f"{_MANUAL}, anchor AS (SELECT * FROM seg ORDER BY end_frame - start_
 _ANCHOR_MEAN = f"""{_ANCHORS},
 mean_ AS (SELECT pos, avg(v) AS v FROM (
   SELECT unnest(range(0, len(embedding))) AS pos, unnest(embedding)::double AS v
-  FROM anchor JOIN embeddings ON vec_id = ((start_frame + end_frame) // 2) % {FEATURES}) GROUP BY pos)"""
+  FROM anchor JOIN embeddings ON vec_id = ((start_frame + end_frame) // 2) % (SELECT count(*) FROM embeddings)) GROUP BY pos)"""
 
 ORACLES: dict[str, str] = {
     "frame_diff_l1": """
@@ -343,7 +346,7 @@ m AS (SELECT label, pos, avg(v) AS m FROM u GROUP BY ALL)
 SELECT vec_id, round(corr(m, v), 6) AS similarity FROM u JOIN m USING (label, pos) GROUP BY vec_id""",
     "segments_verified": f"""WITH {_ANCHOR_MEAN},
 u AS (SELECT seg_index, start_frame, end_frame, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::double AS v
-  FROM seg JOIN embeddings ON vec_id = ((start_frame + end_frame) // 2) % {FEATURES}),
+  FROM seg JOIN embeddings ON vec_id = ((start_frame + end_frame) // 2) % (SELECT count(*) FROM embeddings)),
 s AS (SELECT seg_index, start_frame, end_frame, corr(mean_.v, u.v) AS similarity FROM u JOIN mean_ USING (pos) GROUP BY ALL)
 SELECT seg_index, start_frame, end_frame, round(similarity, 6) AS similarity FROM s WHERE similarity >= {SIMILARITY}""",
     "active_segment_lookup": f"""WITH {_ROWS}

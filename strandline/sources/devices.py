@@ -15,12 +15,12 @@ HARDWARE_ENCODERS = ("h264_nvenc", "h264_qsv", "h264_amf")
 SOFTWARE_ENCODERS = ("libx264", "libopenh264", "mpeg4")
 #: Options of each encoder.
 ENCODER_OPTIONS = {
-    "h264_nvenc": ("-preset", "p4", "-cq", "23"),
-    "h264_qsv": ("-global_quality", "23"),
-    "h264_amf": ("-quality", "balanced"),
-    "libx264": ("-preset", "fast", "-crf", "23"),
+    "h264_nvenc": ("-preset", "fast"),
+    "h264_qsv": ("-preset", "fast"),
+    "h264_amf": ("-preset", "fast"),
+    "libx264": ("-preset", "fast", "-crf", "18"),
     "libopenh264": ("-b:v", "5M"),
-    "mpeg4": ("-q:v", "5"),
+    "mpeg4": ("-q:v", "2"),
 }
 
 
@@ -38,9 +38,9 @@ def find_program(name: str) -> str | None:
 
 
 def parse_devices(lines: DataFrame) -> DataFrame:
-    """``device, free_mb, place`` from lines ``index, MB``; blank and malformed lines are left out."""
+    """``device, free_mb, place`` from lines ``index, MB``; decimals of MB are cut off, blank and malformed lines left out."""
     parts = F.split(F.trim("value"), r"\s*,\s*")
-    device, memory = parts.getItem(0).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    device, memory = parts.getItem(0).try_cast("int"), F.get(parts, F.lit(1)).try_cast("double").cast("int")
     return lines.select(device.alias("device"), memory.alias("free_mb"), "place").where("device IS NOT NULL AND free_mb IS NOT NULL")
 
 
@@ -58,7 +58,8 @@ def best_per_group(df: DataFrame, group: str, by: str, order: str) -> DataFrame:
     return df.withColumn("place_in_group", rank).where("place_in_group = 1").drop("place_in_group")
 
 
-def choose_encoder(listing: str, hardware: bool = True) -> str | None:
-    """The first preferred encoder that a listing names."""
+def choose_encoder(listing: str, hardware: bool = True) -> str:
+    """The first preferred encoder that a listing names, in letters of either case; the last of all if it names none."""
+    listing = listing.lower()
     order = (*HARDWARE_ENCODERS, *SOFTWARE_ENCODERS) if hardware else SOFTWARE_ENCODERS
-    return next((e for e in order if e in listing), None)
+    return next((e for e in order if e in listing), order[-1])

@@ -65,7 +65,10 @@ def test_devices(spark):
     assert devices.first_best(parsed, "free_mb", "place").first()["device"] == 1
     assert devices.choose_encoder("h264_qsv libx264") == "h264_qsv"
     assert devices.choose_encoder("h264_qsv libx264", hardware=False) == "libx264"
-    assert devices.choose_encoder("") is None and devices.run_text(["/no/such/program"]) == ""
+    assert devices.choose_encoder("") == "mpeg4" and devices.choose_encoder("V..... H264_NVENC") == "h264_nvenc"
+    exact = devices.parse_devices(devices.device_lines(spark, "0, 1000.75\n1, 3000.2"))
+    assert [r["free_mb"] for r in exact.orderBy("place").collect()] == [1000, 3000]
+    assert devices.run_text(["/no/such/program"]) == ""
 
 
 def test_histogram(spark):
@@ -168,3 +171,48 @@ def test_activity_windows(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("e").alias("series_id"), "ts", F.col("value").alias("score"))
     total = windowed_activity(events, 25.0).agg(F.sum("frames"), F.sum("low_frames")).first()
     assert tuple(total) == (events.count(), events.where("score < 25").count())
+
+
+FFMPEG = """#!/bin/sh
+for last; do :; done
+case "$*" in
+  *broken*) echo "no such encoder" >&2; exit 1 ;;
+  *slow*) sleep 5 ;;
+esac
+echo "$@" > "$last"
+"""
+
+
+def test_export_with_an_ffmpeg_program(spark, tmp_path):
+    program = tmp_path / "ffmpeg"
+    program.write_text(FFMPEG)
+    program.chmod(0o755)
+    cutter = clips.FfmpegCutter(program=str(program), timeout=2.0)
+    both = [("a", 1, 0, 30), ("a", 2, 60, 120), ("b", 1, 10, 40), ("../c", 1, 5, 50)]
+    found = spark.createDataFrame(both, "series_id string, seg_index long, start_frame long, end_frame long")
+    plan = clips.clip_plan(found, spark.createDataFrame([("a", 30.0), ("b", 30.0), ("../c", 30.0)], "series_id string, fps double"))
+    sources = spark.createDataFrame([("a", "a.mp4"), ("b", "b.mp4"), ("../c", "slow.mp4")], "series_id string, path string")
+    out = tmp_path / "out"
+    join = lambda listing, target: clips.join_clips(listing, target, program=str(program))
+    results = {r["series_id"]: r for r in clips.export(plan, sources, str(out), cutter, ["broken", "libx264"], join, tasks=2).collect()}
+    assert (results["a"]["cut"], results["a"]["failed"], results["a"]["joined"]) == (2, 0, True)
+    assert (results["b"]["cut"], results["b"]["joined"]) == (1, True)
+    assert (results["../c"]["cut"], results["../c"]["failed"], results["../c"]["joined"]) == (0, 1, False)
+    a, b = out / "a" / "clip_0001.mp4", out / "b" / "clip_0001.mp4"
+    assert "-i a.mp4 -ss 0.000000 -t 1.000000 -c:v libx264 -preset fast -crf 18" in a.read_text() and "-i b.mp4 -ss 0.333300" in b.read_text()
+    assert (out / "a" / "clips.txt").read_text() == "file 'clip_0001.mp4'\nfile 'clip_0002.mp4'\n"
+    assert "-f concat" in (out / "a" / "joined.mp4").read_text()
+    assert not [p for p in out.rglob(".*-clip*")] and not (tmp_path / "c").exists()
+    removed = clips.export(plan.where("series_id = 'a'"), sources, str(tmp_path / "two"), cutter, ["libx264"], join, keep_clips=False)
+    assert removed.first()["joined"] and sorted(p.name for p in (tmp_path / "two" / "a").iterdir()) == ["joined.mp4"]
+
+
+def test_cutting_frame_by_frame(tmp_path):
+    def write(target, frames, fps):
+        with open(target, "w") as out:
+            out.write(" ".join(map(str, frames)))
+
+    cutter = clips.FrameCutter(lambda source, n: n if n < 100 else None, write, fps=10.0)
+    assert cutter("x", 1.0, 0.5, str(tmp_path / "one"), "") == (True, "") and (tmp_path / "one").read_text() == "10 11 12 13 14 15"
+    assert cutter("x", 9.8, 5.0, str(tmp_path / "two"), "")[0] and (tmp_path / "two").read_text() == "98 99"
+    assert not cutter("x", 20.0, 1.0, str(tmp_path / "three"), "")[0] and sorted(p.name for p in tmp_path.iterdir()) == ["one", "two"]
