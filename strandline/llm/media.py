@@ -6,8 +6,10 @@ of log-mel energies, and segmented by energy with hysteresis. Frames are stored
 as fixed-shape Arrow tensors with the time span of each.
 
 Defined results: a null text is an empty one; it gives one unit of padding.
-Repeated rows are processed alike and all kept. Equal texts give equal bytes,
-features and digests, as each is computed on its own. Long texts are processed
+Repeated rows are processed alike and all kept. Equal texts give equal bytes
+and digests, as each is computed on its own; tensors are float32, whose last
+bits, and with them ``tensors_sha256`` and a segment's border, may differ
+between processors, while ``energies_sha256`` is of whole numbers. Long texts are processed
 in blocks of frames. Extra columns are ignored.
 """
 
@@ -146,6 +148,15 @@ def log_mel(payload: bytes, config: AudioConfig) -> tuple[np.ndarray, np.ndarray
     return mel, 10 * np.log10(power + config.floor)
 
 
+def energies(payload: bytes, config: AudioConfig) -> np.ndarray:
+    """The energy of each frame of the samples as stored, in whole numbers: alike on any processor."""
+    samples = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
+    total = np.concatenate([[0], np.cumsum(samples * samples)])
+    frame, hop = (x * config.down // config.up for x in (config.frame, config.hop))
+    first = np.arange(0, max(1, len(samples) - frame + hop), hop)
+    return total[np.minimum(first + frame, len(samples))] - total[np.minimum(first, len(samples))]
+
+
 def active_frames(energy: np.ndarray, enter: float, leave: float) -> np.ndarray:
     """Where a segment is on: from a frame at ``enter`` or more until one below ``leave``."""
     sign = np.where(energy >= enter, 1, np.where(energy < leave, -1, 0))
@@ -187,7 +198,7 @@ def from_ipc(stored: bytes) -> pa.Table:
 
 MEDIA = (
     "doc_id long, n_bytes long, media binary, tensors binary, frames long, mels int, "
-    "segments array<struct<start_s: double, end_s: double>>, tensors_sha256 string"
+    "segments array<struct<start_s: double, end_s: double>>, tensors_sha256 string, energies_sha256 string"
 )
 _ARROW = pa.schema(
     [
@@ -199,6 +210,7 @@ _ARROW = pa.schema(
         ("mels", pa.int32()),
         ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
         ("tensors_sha256", pa.string()),
+        ("energies_sha256", pa.string()),
     ]
 )
 #: Bytes of results that are handed on at once.
@@ -208,12 +220,14 @@ AT_ONCE = 8_000_000
 def features_of(text: str | None, config: AudioConfig) -> tuple:
     """The columns of ``MEDIA`` but the id, for one text."""
     media = wav(payload_of_text(text), config.rate)
-    mel, energy = log_mel(payload_of_wav(media), config)
+    payload = payload_of_wav(media)
+    mel, energy = log_mel(payload, config)
+    exact = hashlib.sha256(energies(payload, config).astype("<i8").tobytes()).hexdigest()
     middle = float(np.median(energy))
     on = active_frames(energy, middle + config.enter_db, middle + config.leave_db)
     spans = [{"start_s": a, "end_s": b} for a, b in segments(on, config)]
     stored = to_ipc(tensors(mel, config))
-    return len((text or "").encode()), media, stored, len(mel), config.mels, spans, hashlib.sha256(stored).hexdigest()
+    return len((text or "").encode()), media, stored, len(mel), config.mels, spans, hashlib.sha256(stored).hexdigest(), exact
 
 
 def audio_features(docs: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:

@@ -187,6 +187,10 @@ def test_op3_round_trip(spark, sf_dir, documents):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
         stored = media.wav(payload, config.rate)
+        squares = [(b - 128) ** 2 for b in payload]
+        exact = [sum(squares[a : a + 200]) for a in range(0, max(1, len(payload) - 120), 80)]
+        frames = 1 + max(0, -(-(-(-len(payload) * 3 // 4) - 150) // 60))
+        assert r["feature"] == f"{frames}:40:" + hashlib.sha256(np.array(exact, "<i8").tobytes()).hexdigest()
         assert r["media_bytes"] == len(stored) and r["media_sha256"] == hashlib.sha256(stored).hexdigest()
 
 
