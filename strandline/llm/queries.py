@@ -64,15 +64,15 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "text", "copy", "shuffle_key")
 
 
-#: The rates, the distribution and the draw of ``mixing`` in SQL; ``highest`` and ``terms`` as for its defaults.
+#: The rates, the distribution and the draw of ``mixing`` in SQL; each source has as many terms as its rate needs.
 OP6_SQL = """
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0) + 1)::double AS size FROM documents GROUP BY source),
 rates AS (
-  SELECT source, least(1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(size) FROM sizes) / size, 8.0::double) AS rate
+  SELECT source, 1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(size) FROM sizes) / size AS rate
   FROM sizes),
 terms AS (
   SELECT source, k, exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - lgamma(k + 1)) AS p
-  FROM rates, (SELECT unnest(range(0, 83)) AS k)),
+  FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::bigint + 1)) AS k FROM rates)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS total FROM terms),
 draws AS (
   SELECT *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double AS u
