@@ -1,18 +1,17 @@
-"""Comparing what shares a key: a crowded key is dealt out as pairs of its parts, and sets meet only over their rarest members."""
+"""Comparing what shares a key: a crowded key is dealt out as pairs of its parts, and sets meet those of like sizes."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Collection, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt(keyed: DataFrame, node: str, group_rows: int) -> DataFrame:
-    """``group`` and ``node`` for each row of ``keyed`` (``key``, its ``count``, and a column ``node``).
+def dealt(keyed: DataFrame, node: str, group_rows: int, *kept: str) -> DataFrame:
+    """``group``, ``node`` and the columns ``kept`` for each row of ``keyed`` (``key``, its ``count``, and a column ``node``).
 
     All nodes of a key with at most ``group_rows`` of them are one group. Those
     of a larger key are dealt to parts, and each two parts are a group: any two
@@ -23,57 +22,65 @@ def dealt(keyed: DataFrame, node: str, group_rows: int) -> DataFrame:
     parts = F.ceil(F.col("count") / half).cast("int")
     part: Column = F.when(few, 0).otherwise(F.pmod(F.xxhash64(node, F.lit(7)), parts)).cast("int")
     other = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
-    pairs = keyed.select("key", node, part.alias("part"), F.explode(other).alias("other"))
-    return pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), node)
+    pairs = keyed.select("key", node, *kept, part.alias("part"), F.explode(other).alias("other"))
+    return pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), node, *kept)
 
 
-def forest(nodes: Sequence[int], sets: Sequence[Collection[int]], similarity: float) -> list[tuple[int, int]]:
-    """Links that join all pairs of sets of that Jaccard similarity or more, directly or by steps; fewer than sets."""
-    parent = list(range(len(sets)))
+def forest(nodes: Sequence[int], sets: Sequence[np.ndarray], similarity: float, parts: Sequence[int] = ()) -> list[tuple[int, int]]:
+    """Links that join all pairs of sets of that Jaccard similarity or more, directly or by steps; fewer than sets.
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    seen = Counter(s for own in sets for s in own)
-    having: dict[int, list[int]] = {}
+    Sets of equal ``parts`` are joined already. Empty sets have no links.
+    """
+    by_size = sorted((i for i, own in enumerate(sets) if len(own)), key=lambda i: len(sets[i]))
+    label = np.unique([parts[i] for i in by_size], return_inverse=True)[1] if len(parts) else np.arange(len(by_size))
+    if len(by_size) < 2 or (label == label[0]).all():
+        return []
+    sizes = np.array([len(sets[i]) for i in by_size])
+    numbers = np.unique(np.concatenate([sets[i] for i in by_size]), return_inverse=True)[1]
+    ranks = np.split(numbers, np.cumsum(sizes)[:-1])
+    own = np.zeros(numbers.max() + 1, bool)
     links = []
-    for i, own in enumerate(sets):
-        # Similar sets share one of so many of their rarest members; the most frequent ones need no look.
-        rarest = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
-        for s in sorted(own, key=lambda s: (seen[s], s))[:rarest]:
-            for j in having.get(s, ()):
-                if root(i) != root(j):
-                    both = len(own & sets[j])
-                    if both >= similarity * (len(own) + len(sets[j]) - both) - 1e-9:
-                        parent[root(j)] = root(i)
-                        links.append((nodes[i], nodes[j]))
-            if seen[s] > 1:
-                having.setdefault(s, []).append(i)
+    for i in range(1, len(by_size)):
+        # Similar sets have similar sizes; what is joined already needs no look.
+        low = int(np.searchsorted(sizes, similarity * sizes[i] - 1e-9))
+        others = low + np.flatnonzero(label[low:i] != label[i])
+        if not len(others):
+            continue
+        own[ranks[i]] = True
+        ends = np.cumsum(sizes[others])
+        both = np.add.reduceat(own[np.concatenate([ranks[j] for j in others])], ends - sizes[others], dtype=np.int64)
+        own[ranks[i]] = False
+        for j in others[both >= similarity * (sizes[others] + sizes[i] - both) - 1e-9]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((nodes[by_size[i]], nodes[by_size[j]]))
     return links
 
 
-def links_of_groups(similarity: float, members):
-    """Over rows ``group, content, shingles`` sorted by group: links ``a, b`` within each. Holds one group.
+def links_of_groups(similarity: float, members: Callable[[pa.Scalar], np.ndarray]):
+    """Over rows ``group, content, shingles`` and perhaps ``component``, sorted by group: links ``a, b`` within each. Holds one group.
 
-    ``members`` makes a set of what is in column ``shingles``.
+    ``members`` makes an array of what is in column ``shingles``. What has one
+    ``component`` is joined already.
     """
 
     def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, contents, sets = None, [], []
+        group, contents, sets, parts = None, [], [], []
         for batch in batches:
             links = []
-            for g, c, s in zip(batch.column("group").to_pylist(), batch.column("content").to_pylist(), batch.column("shingles"), strict=True):
+            known = batch.column("component").to_pylist() if "component" in batch.schema.names else None
+            for at, (g, c, s) in enumerate(zip(batch.column("group").to_pylist(), batch.column("content").to_pylist(), batch.column("shingles"), strict=True)):
                 if g != group:
-                    links += forest(contents, sets, similarity)
-                    group, contents, sets = g, [], []
+                    links += forest(contents, sets, similarity, parts)
+                    group, contents, sets, parts = g, [], [], []
                 contents.append(c)
                 sets.append(members(s))
+                if known:
+                    parts.append(known[at])
             yield made(links)
-        yield made(forest(contents, sets, similarity))
+        yield made(forest(contents, sets, similarity, parts))
 
     return compare

@@ -262,7 +262,7 @@ def similar_links(docs: DataFrame, contents: DataFrame, config: PassageConfig =
     sets = texts.mapInArrow(_shingle_sets(config), "content long, shingles array<long>").dropDuplicates(["content"])
     grouped = dealt(colliding, "content", config.group_rows).join(sets, "content").select("group", "content", "shingles")
     ordered = grouped.repartition("group").sortWithinPartitions("group")
-    links = written(ordered.mapInArrow(links_of_groups(config.similarity, lambda x: set(x.values.to_pylist())), "a long, b long"))
+    links = written(ordered.mapInArrow(links_of_groups(config.similarity, lambda x: x.values.to_numpy()), "a long, b long"))
     discard(colliding)
     return links.distinct()
 
