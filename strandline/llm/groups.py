@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt(keyed: DataFrame, node: str, group_rows: int, *kept: str) -> DataFrame:
-    """``group``, ``node`` and the columns ``kept`` for each row of ``keyed`` (``key``, its ``count``, and a column ``node``).
+def dealt(keyed: DataFrame, node: str, group_rows: int) -> DataFrame:
+    """``group`` and ``node`` for each row of ``keyed`` (``key``, its ``count``, and a column ``node``).
 
     All nodes of a key with at most ``group_rows`` of them are one group. Those
     of a larger key are dealt to parts, and each two parts are a group: any two
@@ -22,8 +22,31 @@ def dealt(keyed: DataFrame, node: str, group_rows: int, *kept: str) -> DataFrame
     parts = F.ceil(F.col("count") / half).cast("int")
     part: Column = F.when(few, 0).otherwise(F.pmod(F.xxhash64(node, F.lit(7)), parts)).cast("int")
     other = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
-    pairs = keyed.select("key", node, *kept, part.alias("part"), F.explode(other).alias("other"))
-    return pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), node, *kept)
+    pairs = keyed.select("key", node, part.alias("part"), F.explode(other).alias("other"))
+    return pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), node)
+
+
+def dealt_across(labelled: DataFrame, node: str, group_rows: int) -> DataFrame:
+    """``group``, ``node`` and ``component`` for rows of ``key``, ``node`` and ``component``, so that nodes of different components under one key meet.
+
+    Keys of one component need nothing. Nodes of a crowded key's largest
+    component don't meet each other, so what is made grows with the pairs that
+    are still to be compared, not with the square of the key's nodes.
+    """
+    half = group_rows // 2
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("count")).where("count > top.n")
+    sides = [F.ceil(n / half).cast("int") for n in (F.col("top.n"), F.col("count") - F.col("top.n"))]
+    few = F.col("count") <= group_rows
+    keys = keys.select("key", F.col("top.component").alias("most"), few.alias("few"), *[F.when(few, 1).otherwise(n).alias(c) for n, c in zip(sides, ("large", "small"), strict=True)])
+    own = labelled.join(keys, "key").withColumn("in_most", F.col("component") == F.col("most"))
+    own = own.withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), F.when(F.col("in_most"), F.col("large")).otherwise(F.col("small"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.when(F.col("in_most"), F.transform(every("small"), lambda r: F.xxhash64("key", F.lit(0), "part", r)))
+    across = across.otherwise(F.transform(every("large"), lambda q: F.xxhash64("key", F.lit(0), q, "part")))
+    rest = F.transform(F.filter(every("small"), lambda r: r != F.col("part")), lambda r: F.xxhash64("key", F.lit(1), F.least("part", r), F.greatest("part", r)))
+    groups = F.when(F.col("in_most"), across).otherwise(F.concat(across, rest))
+    return own.select(F.explode(groups).alias("group"), node, "component")
 
 
 def forest(nodes: Sequence[int], sets: Sequence[np.ndarray], similarity: float, parts: Sequence[int] = ()) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import langid, media, mixing, packing, passages, pii, shards, similar, simhash, topk, toxicity
+from strandline.llm import groups, langid, media, mixing, packing, passages, pii, shards, similar, simhash, topk, toxicity
 from strandline.llm.components import connected_components
 from strandline.llm.queries import ORACLES, QUERIES
 from tests.compare import duck, rows
@@ -705,6 +705,38 @@ def test_pipeline_drops_pairs_of_jaccard_08(spark):
     assert sorted(r["doc_id"] for r in once.collect()) == kept_by_jaccard({r["doc_id"]: r["text"] for r in docs.collect()})
 
 
+def test_similar_sets_of_a_crowded_key(spark):
+    docs = make(spark, [(i, t, None, None) for i, t in crowded_texts().items()])
+    few = similar.SimilarConfig(group_rows=8, pivots=1)
+    assert sorted(r["doc_id"] for r in similar.drop_similar(docs, few).collect()) == kept_by_jaccard(crowded_texts())
+
+
+def crowded_texts():
+    """Many texts of one origin, some alike, some below the limit."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    out = {}
+    for i in range(90):
+        words = list(base)
+        for j in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            words[j] = f"x{i}_{j}"
+        out[i] = " ".join(words)
+    return out
+
+
+def test_nodes_of_different_components_meet(spark):
+    table = [("a", i, 1) for i in range(50)] + [("a", 100 + i, 2 + i % 9) for i in range(21)] + [("b", i, 5) for i in range(40)] + [("c", i, i) for i in range(5)]
+    rows = groups.dealt_across(spark.createDataFrame(table, "key string, node long, component long"), "node", 8).collect()
+    together = {}
+    for r in rows:
+        together.setdefault(r["group"], []).append(r["node"])
+    assert max(map(len, together.values())) <= 24
+    met = {(x, y) for g in together.values() for x in g for y in g}
+    for key in "abc":
+        own = [(n, c) for k, n, c in table if k == key]
+        assert all((x, y) in met for x, cx in own for y, cy in own if cx != cy)
+
+
 def test_similar_sets_at_the_limit_and_by_steps(spark):
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
