@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, media, mixing, packing, passages, pii, shards, simhash, topk, toxicity
+from strandline.llm import langid, media, mixing, packing, passages, pii, runs, shards, simhash, topk, toxicity
 from strandline.llm.storage import table
 
 
@@ -126,6 +126,33 @@ WHERE rank <= 5
 """
 
 
+def with_repeats(text: Column, doc_id: Column) -> Column:
+    """``text``; where crc32 of the id ends in 0, its words from one on become repeats of the first few of them."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h, n = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    made = F.array_join(F.concat(F.slice(words, 1, a), F.slice(again, 1, n - a)), " ")
+    return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", runs.find_runs(with_repeats(F.col("text"), F.col("doc_id"))).alias("found")).select("doc_id", "found.*")
+    line = lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])
+    top = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[top[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -137,6 +164,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES = {"op6_source_mixing": OP6_SQL, "op10_exact_topk": OP10_SQL}
