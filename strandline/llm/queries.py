@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, media, mixing, packing, passages, pii, runs, shards, simhash, topk, toxicity
+from strandline.llm import exact, langid, media, mixing, packing, passages, pii, runs, shards, simhash, topk, toxicity
 from strandline.llm.storage import table
 
 
@@ -153,6 +153,21 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.duplicates(spark, f"{sf_dir}/documents.parquet")
+    kept = (F.col("place") == F.col("last.place")).alias("kept")
+    return found.select("doc_id", F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept, F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -165,6 +180,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_topk": op10_exact_topk,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLES = {"op6_source_mixing": OP6_SQL, "op10_exact_topk": OP10_SQL}
+ORACLES = {"op6_source_mixing": OP6_SQL, "op10_exact_topk": OP10_SQL, "op13_exact_dedup": OP13_SQL}
