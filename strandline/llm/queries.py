@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact, langid, media, mixing, packing, passages, pii, runs, shards, simhash, topk, toxicity
+from strandline.llm import exact, langid, media, mixing, packing, passages, pii, runs, shards, simhash, topk, toxicity, whitening
 from strandline.llm.storage import table
 
 
@@ -126,6 +126,10 @@ WHERE rank <= 5
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def with_repeats(text: Column, doc_id: Column) -> Column:
     """``text``; where crc32 of the id ends in 0, its words from one on become repeats of the first few of them."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -179,6 +183,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
