@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class SegmentConfig:
@@ -30,6 +33,11 @@ class SegmentConfig:
             chunk=self.chunk_frames,
         )
 
+    def frame_columns(self, fps: Column) -> list[Column]:
+        """``smooth, merge_gap, min_length`` of ``frames``, for a column of rates."""
+        whole = {"smooth": self.smooth_sec, "merge_gap": self.merge_gap_sec, "min_length": self.min_length_sec}
+        return [F.greatest((fps * F.lit(float(sec))).cast("int"), F.lit(1 if name == "smooth" else 0)).alias(name) for name, sec in whole.items()]
+
 
 @dataclass(frozen=True)
 class WindowFrames:

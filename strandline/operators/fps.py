@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.chunks import chunk_of
+from strandline.operators.quantile import exact_quantiles
 
 
 def time_steps(scores: DataFrame, chunk: int = 1 << 18) -> DataFrame:
@@ -25,6 +26,7 @@ def time_steps(scores: DataFrame, chunk: int = 1 << 18) -> DataFrame:
 
 def estimate_fps(scores: DataFrame, default: float = 30.0, chunk: int = 1 << 18) -> DataFrame:
     """``series_id, fps``: one over the median step, exactly; the default where there is no step."""
-    median = time_steps(scores, chunk).groupBy("series_id").agg(F.percentile("step", F.lit(0.5)).alias("step"))
+    steps = time_steps(scores, chunk).withColumnRenamed("step", "x")
+    median = exact_quantiles(steps, [0.5]).select("series_id", F.col("q")[0].alias("step"))
     every = scores.select("series_id").distinct()
     return every.join(median, "series_id", "left").select("series_id", F.coalesce(1 / F.col("step"), F.lit(default)).alias("fps"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from strandline.functions.columns import middle_frame, pearson
 
 
+def middle_frames(segments: DataFrame) -> DataFrame:
+    """``series_id, frame``: the frames that stand for segments, each once."""
+    return segments.select("series_id", middle_frame(F.col("start_frame"), F.col("end_frame")).alias("frame")).distinct()
+
+
 def with_features(segments: DataFrame, features: DataFrame) -> DataFrame:
     """Adds ``hist``, that of the segment's middle frame; null where the frame has none."""
     middle = segments.withColumn("frame", middle_frame(F.col("start_frame"), F.col("end_frame")))

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.config import WindowFrames
+from strandline.config import SegmentConfig, WindowFrames
 from strandline.functions import columns
-from strandline.operators import clips, features, fps, framediff, islands, mixture, report, smooth, timeline, verify
+from strandline.operators import clips, features, fps, framediff, islands, mixture, quantile, report, smooth, timeline, verify
 from strandline.plans import segment
 from strandline.sinks import files
 from strandline.sources import devices
 from strandline.sources.scores import as_scores
+from strandline.storage import Workspace
 
 FRAMES = WindowFrames(smooth=7, merge_gap=3, min_length=10, chunk=1 << 14)
 EVEN = WindowFrames(smooth=12, merge_gap=3, min_length=10, chunk=1 << 14)
@@ -25,6 +26,7 @@ THRESHOLD = 25.0
 FPS = 30.0
 STEPS = 5
 SIMILARITY = 0.05
+QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,11 @@ def _smoothed(spark: SparkSession, sf_dir: str, frames: WindowFrames = FRAMES) -
     return smooth.rolling_median(_scores(spark, sf_dir), frames)
 
 
+def _kept_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once, for queries that read them several times."""
+    return Workspace(spark).result(_segments(spark, sf_dir))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.segments(_smoothed(spark, sf_dir), F.lit(THRESHOLD), FRAMES)
 
@@ -90,6 +97,29 @@ def mixture_em5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).select(*[F.round(c, 6).alias(c) for c in ("m1", "m2", "v1", "v2", "w1", "w2")])
 
 
+def _per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score series for each type of event, timed at 30 frames a second as a score file has it."""
+    events = segment.dense_frames(_table(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id"), FRAMES.chunk)
+    return as_scores(events, F.col("series_id"), F.col("frame"), columns.frame_time(F.col("frame"), F.lit(FPS)), F.col("value"))
+
+
+def mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture.ordered(mixture.fit(mixture.log_scores(_per_type(spark, sf_dir))))
+    return found.select("series_id", *[F.round(c, 6).alias(c) for c in ("m1", "m2", "v1", "v2", "w1", "w2")])
+
+
+def quantiles_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = _per_type(spark, sf_dir).select("series_id", F.col("score").alias("x"))
+    # So coarse a sketch leaves values to rank at any size.
+    found = quantile.exact_quantiles(values, QUANTILES, accuracy=50)
+    return found.select("series_id", "n", *[F.round(F.col("q")[k], 9).alias(f"q{k}") for k in range(len(QUANTILES))])
+
+
+def segments_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = segment.segment(_per_type(spark, sf_dir), SegmentConfig(chunk_frames=FRAMES.chunk))
+    return done.rows.select("series_id", F.col("index").alias("seg_index"), "start_frame", "end_frame", "start_sec", "end_sec", "duration_sec")
+
+
 def threshold_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.threshold(_mixture(spark, sf_dir), "compat").select(F.round("threshold", 4).alias("threshold"))
 
@@ -148,7 +178,7 @@ def color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
-    middle = segments.select("series_id", columns.middle_frame(F.col("start_frame"), F.col("end_frame")).alias("frame")).distinct()
+    middle = verify.middle_frames(segments)
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("hist"))
     count = vectors.agg(F.count("*").alias("vectors"))  # one row
     return middle.crossJoin(F.broadcast(count)).join(vectors, F.col("frame") % F.col("vectors") == F.col("vec_id")).select("series_id", "frame", "hist")
@@ -159,7 +189,7 @@ def anchor_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verify.anchors(_segments(spark, sf_dir))
+    found = verify.anchors(_kept_segments(spark, sf_dir))
     mean = verify.mean_vector(verify.with_features(found, _features(spark, sf_dir, found)), ["series_id"])
     return mean.select(F.posexplode("mean").alias("pos", "v")).select("pos", F.round("v", 6).alias("v"))
 
@@ -172,7 +202,7 @@ def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _segments(spark, sf_dir)
+    found = _kept_segments(spark, sf_dir)
     kept = verify.verified(found, _features(spark, sf_dir, found), SIMILARITY)
     return kept.select("seg_index", "start_frame", "end_frame", F.round("similarity", 6).alias("similarity"))
 
@@ -222,6 +252,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         smooth_odd,
         smooth_even,
         mixture_em5,
+        mixture_fit,
+        quantiles_per_series,
+        segments_default,
         threshold_compat,
         threshold_equal_density,
         below_threshold_flags,
@@ -289,6 +322,35 @@ roots AS (SELECT m1, m2, unnest([(-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b +
 th AS (SELECT min(10 ** r) AS threshold FROM roots WHERE r > m1 AND r < m2)"""
 
 
+#: To a fixed point: two means, then expectation-maximisation, for each series until it has settled.
+_FIT = """x AS (SELECT series_id, log10(greatest(value, 1)) AS x FROM typed WHERE value IS NOT NULL),
+centres AS (
+  SELECT series_id, 0 AS i, min(x) AS c1, max(x) AS c2 FROM x GROUP BY series_id
+  UNION ALL
+  SELECT series_id, i + 1, avg(x) FILTER (abs(x - c1) <= abs(x - c2)), coalesce(avg(x) FILTER (abs(x - c1) > abs(x - c2)), avg(x) FILTER (abs(x - c1) <= abs(x - c2)))
+  FROM centres JOIN x USING (series_id) WHERE i < 10 GROUP BY series_id, i),
+near AS (SELECT series_id, x, abs(x - c1) <= abs(x - c2) AS low FROM centres JOIN x USING (series_id) WHERE i = 10),
+begun AS (
+  SELECT series_id, avg(x) FILTER (low) AS m1, coalesce(avg(x) FILTER (NOT low), avg(x) FILTER (low)) AS m2,
+    var_pop(x) FILTER (low) + 1e-6 AS v1, coalesce(var_pop(x) FILTER (NOT low), var_pop(x) FILTER (low)) + 1e-6 AS v2,
+    count(*) FILTER (low) / count(*) AS w1 FROM near GROUP BY series_id),
+em AS (
+  SELECT series_id, 0 AS i, m1, m2, v1, v2, w1, 1 - w1 AS w2, NULL::double AS l, false AS settled FROM begun
+  UNION ALL
+  SELECT series_id, i + 1, sum(g * x) / sum(g), sum((1 - g) * x) / sum(1 - g),
+    sum(g * x * x) / sum(g) - (sum(g * x) / sum(g)) ** 2 + 1e-6, sum((1 - g) * x * x) / sum(1 - g) - (sum((1 - g) * x) / sum(1 - g)) ** 2 + 1e-6,
+    sum(g) / count(*), sum(1 - g) / count(*), avg(ln(p)), coalesce(abs(avg(ln(p)) - any_value(l)) < 0.001, false)
+  FROM (SELECT *, a / (a + b) AS g, a + b AS p FROM (
+    SELECT series_id, i, x, l, w1 / sqrt(2 * pi() * v1) * exp(-(x - m1) * (x - m1) / (2 * v1)) AS a, w2 / sqrt(2 * pi() * v2) * exp(-(x - m2) * (x - m2) / (2 * v2)) AS b
+    FROM em JOIN x USING (series_id) WHERE NOT settled AND i < 100))
+  GROUP BY series_id, i),
+last_ AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY i DESC) = 1),
+fitted AS (SELECT series_id, CASE WHEN m1 > m2 THEN m2 ELSE m1 END AS m1, CASE WHEN m1 > m2 THEN m1 ELSE m2 END AS m2,
+  CASE WHEN m1 > m2 THEN v2 ELSE v1 END AS v1, CASE WHEN m1 > m2 THEN v1 ELSE v2 END AS v2,
+  CASE WHEN m1 > m2 THEN w2 ELSE w1 END AS w1, CASE WHEN m1 > m2 THEN w1 ELSE w2 END AS w2 FROM last_)"""
+_TYPED = "typed AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame, value FROM events)"
+_DEFAULT = SegmentConfig().frames(1 / 0.033)
+
 _MANUAL = _segments_sql(str(THRESHOLD))
 _ROWS = f"""{_MANUAL},
 rows_ AS (SELECT seg_index, start_frame, end_frame, round(start_frame / {FPS}, 4) AS start_sec, round(end_frame / {FPS}, 4) AS end_sec,
@@ -313,6 +375,23 @@ SELECT round(1 / median(d), 9) AS fps FROM d WHERE d > 0""",
     "smooth_odd": f"SELECT frame, round(m, 9) AS smoothed FROM ({_smooth_sql(FRAMES)})",
     "smooth_even": f"SELECT frame, round(m, 9) AS smoothed FROM ({_smooth_sql(EVEN)})",
     "mixture_em5": f"WITH {_em_sql()} SELECT round(m1, 6) AS m1, round(m2, 6) AS m2, round(v1, 6) AS v1, round(v2, 6) AS v2, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM em",
+    "mixture_fit": f"WITH RECURSIVE {_TYPED}, {_FIT} SELECT series_id, round(m1, 6) AS m1, round(m2, 6) AS m2, round(v1, 6) AS v1, round(v2, 6) AS v2, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM fitted",
+    "quantiles_per_series": f"SELECT event_type AS series_id, count(*) AS n, {', '.join(f'round(quantile_cont(value, {p}), 9) AS q{k}' for k, p in enumerate(QUANTILES))} FROM events GROUP BY event_type",
+    "segments_default": f"""WITH RECURSIVE {_TYPED}, {_FIT},
+q AS (SELECT *, 1 / (2 * v1) - 1 / (2 * v2) AS a, m2 / v2 - m1 / v1 AS b,
+  m1 * m1 / (2 * v1) - m2 * m2 / (2 * v2) + ln(sqrt(v2) * w1 / (sqrt(v1) * w2)) AS c FROM fitted),
+roots AS (SELECT series_id, m1, m2, unnest([(-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b + sqrt(b * b - 4 * a * c)) / (2 * a)]) AS r FROM q),
+th AS (SELECT series_id, min(10 ** r) AS threshold FROM roots WHERE r > m1 AND r < m2 GROUP BY series_id),
+step AS (SELECT series_id, t - lag(t) OVER (PARTITION BY series_id ORDER BY frame) AS step FROM (SELECT series_id, frame, round(frame / {FPS}, 3) AS t FROM typed) WHERE t > 0),
+rate AS (SELECT series_id, 1 / median(step) AS fps FROM step WHERE step > 0 GROUP BY series_id),
+sm AS (SELECT series_id, frame, median(value) OVER (PARTITION BY series_id ORDER BY frame ROWS BETWEEN {_DEFAULT.preceding} PRECEDING AND {_DEFAULT.following} FOLLOWING) AS m FROM typed),
+r AS (SELECT series_id, frame, lag(frame) OVER (PARTITION BY series_id ORDER BY frame) AS p FROM sm JOIN th USING (series_id) WHERE m < threshold),
+g AS (SELECT series_id, frame, sum(CASE WHEN p IS NULL OR frame - p - 1 > {_DEFAULT.merge_gap} THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS sid FROM r),
+a AS (SELECT series_id, sid, min(frame) AS s, max(frame) AS e FROM g GROUP BY ALL),
+b AS (SELECT a.series_id, s, CASE WHEN mx - e <= {_DEFAULT.merge_gap} THEN mx ELSE e END AS e FROM a JOIN (SELECT series_id, max(frame) AS mx FROM sm GROUP BY ALL) USING (series_id))
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY s) AS seg_index, s AS start_frame, e AS end_frame,
+  round(s / fps, 4) AS start_sec, round(e / fps, 4) AS end_sec, round((e - s) / fps, 4) AS duration_sec
+FROM b JOIN rate USING (series_id) WHERE e - s >= {_DEFAULT.min_length}""",
     "threshold_compat": f"WITH {_threshold_sql('+')} SELECT round(threshold, 4) AS threshold FROM th",
     "threshold_equal_density": f"WITH {_threshold_sql('-')} SELECT round(threshold, 4) AS threshold FROM th",
     "below_threshold_flags": f"SELECT frame, coalesce(m < {THRESHOLD}, false) AS low FROM ({_smooth_sql(FRAMES)})",

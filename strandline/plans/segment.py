@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from strandline.config import SegmentConfig, WindowFrames
 from strandline.operators import fps as rates
 from strandline.operators import islands, mixture, report, smooth, verify
 from strandline.operators.chunks import chunk_of
+from strandline.storage import Workspace
 
 
 def dense_frames(df: DataFrame, series: Column, order: Column, chunk: int = 1 << 18) -> DataFrame:
@@ -57,27 +59,37 @@ class Segmentation:
     coverage: DataFrame
 
 
-def segment(scores: DataFrame, config: SegmentConfig = SegmentConfig(), features: DataFrame | None = None, container_fps: DataFrame | None = None) -> Segmentation:
+#: From the frames that are wanted (``series_id, frame``) to their features (``series_id, frame, hist``).
+Features = Callable[[DataFrame], DataFrame]
+
+
+def segment(scores: DataFrame, config: SegmentConfig = SegmentConfig(), features: DataFrame | Features | None = None, container_fps: DataFrame | None = None) -> Segmentation:
     """Everything from ``series_id, frame, time_sec, score``.
 
     Windows are whole numbers of frames, which each rate makes anew: series of
-    one set of windows are done together, and there are few sets. Segment rows
-    use the rate of the container where given; the windows that of the times.
+    one set of windows are done together; the driver holds the sets, of which
+    there are as many as whole rates. Segment rows use the rate of the
+    container where given; the windows that of the times. Features, where they
+    are made on demand, are made of the middle frames of segments only.
     """
-    fps = rates.estimate_fps(scores, chunk=config.chunk_frames).persist()
-    limits = thresholds(scores, config)
-    sets: dict[WindowFrames, list[str]] = {}
-    for row in fps.collect():  # a row for each series
-        sets.setdefault(config.frames(row["fps"]), []).append(row["series_id"])
-    found = None
-    for frames, names in sets.items():
-        part = segments_with(scores.where(F.col("series_id").isin(names)), limits, frames)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        raise ValueError("there are no scores")
-    if features is not None and config.similarity > 0:
-        found = verify.verified(found, features, config.similarity, config.anchors).drop("similarity")
-    found = report.renumbered(found)
+    spark = scores.sparkSession
+    with Workspace(spark) as work:
+        fps = work.result(rates.estimate_fps(scores, chunk=config.chunk_frames))
+        limits = work.result(thresholds(scores, config))
+        windows = work.keep(fps.select("series_id", *config.frame_columns(F.col("fps"))))
+        found = None
+        for row in windows.select("smooth", "merge_gap", "min_length").distinct().collect():
+            own = windows.where(" AND ".join(f"{k} = {v}" for k, v in row.asDict().items())).select("series_id")
+            part = segments_with(scores.join(own, "series_id", "left_semi"), limits, WindowFrames(**row.asDict(), chunk=config.chunk_frames))
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            raise ValueError("there are no scores")
+        found = work.keep(found)
+        if features is not None and config.similarity > 0:
+            if callable(features):
+                features = work.keep(features(verify.middle_frames(found)).select("series_id", "frame", "hist"))
+            found = verify.verified(found, features, config.similarity, config.anchors).drop("similarity")
+        found = work.result(report.renumbered(found))
     rate = container_fps if container_fps is not None else fps
     return Segmentation(fps, limits, found, report.segment_rows(found, rate), report.coverage(found, scores, fps))
 
