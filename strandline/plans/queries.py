@@ -16,7 +16,7 @@ from strandline.functions import columns
 from strandline.operators import clips, features, fps, framediff, islands, mixture, quantile, report, smooth, timeline, verify
 from strandline.plans import segment
 from strandline.sinks import files
-from strandline.sources import devices
+from strandline.sources import devices, frames
 from strandline.sources.scores import as_scores
 from strandline.storage import Workspace
 
@@ -170,6 +170,24 @@ def clip_frame_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.clip_frames(_segments(spark, sf_dir)).select("seg_index", "frame")
 
 
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 7 by 3 pixels: the first 63 entries of each vector as bytes of blue, green and red."""
+    byte = lambda x: F.lpad(F.hex(F.pmod(F.floor((x.cast("double") + 1) * 128), F.lit(256))), 2, "0")
+    bgr = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), byte), ""))
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vectors.select(F.lit("e").alias("series_id"), F.col("vec_id").alias("frame"), F.lit(7).alias("width"), F.lit(3).alias("height"), bgr.alias("bgr"))
+
+
+def frame_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = features.frame_histograms(_frames(spark, sf_dir)).select("frame", F.posexplode("hist").alias("bin", "weight"))
+    return hist.where("weight > 0").select("frame", "bin", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
+def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = spark.range(1).select(F.lit("e").alias("series_id"), F.lit(24.0).alias("fps"))
+    return framediff.frame_scores(frames.gray_frames(_frames(spark, sf_dir)), rate).select("frame", "time_sec", "score")
+
+
 def color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     pixels = events.select("event_type", (F.col("user_id") % 180).alias("hue"), F.least(F.floor("value"), F.lit(255)).alias("saturation"))
@@ -266,6 +284,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         coverage_summary,
         clip_frame_list,
         color_histogram,
+        frame_histograms,
+        frame_scores,
         anchor_selection,
         anchor_mean,
         vector_similarity,
@@ -351,6 +371,10 @@ fitted AS (SELECT series_id, CASE WHEN m1 > m2 THEN m2 ELSE m1 END AS m1, CASE W
 _TYPED = "typed AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame, value FROM events)"
 _DEFAULT = SegmentConfig().frames(1 / 0.033)
 
+#: The bytes of each vector's 21 pixels.
+_PIXELS = """bytes AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: floor((x::double + 1) * 128)::bigint % 256) AS v FROM embeddings),
+px AS (SELECT vec_id, k, v[3 * k + 1] AS b, v[3 * k + 2] AS g, v[3 * k + 3] AS r FROM (SELECT *, unnest(range(21)) AS k FROM bytes))"""
+
 _MANUAL = _segments_sql(str(THRESHOLD))
 _ROWS = f"""{_MANUAL},
 rows_ AS (SELECT seg_index, start_frame, end_frame, round(start_frame / {FPS}, 4) AS start_sec, round(end_frame / {FPS}, 4) AS end_sec,
@@ -417,6 +441,17 @@ SELECT count(*) AS segments, coalesce(sum(end_frame - start_frame), 0)::bigint A
 WITH b AS (SELECT event_type, (user_id % 180) * 30 // 180 * 32 + least(floor(value), 255)::bigint * 32 // 256 AS bin FROM events WHERE value >= 0),
 c AS (SELECT event_type, bin::int AS bin, count(*) AS n FROM b GROUP BY ALL)
 SELECT event_type, bin, round((n / sqrt(sum(n * n) OVER (PARTITION BY event_type)))::float::double, 5) AS weight FROM c""",
+    "frame_histograms": f"""WITH {_PIXELS},
+h AS (SELECT vec_id, mx, mx - mn AS d, CASE WHEN mx = r THEN g - b WHEN mx = g THEN b - r + 2 * (mx - mn) ELSE r - g + 4 * (mx - mn) END AS sixths
+  FROM (SELECT *, greatest(b, g, r) AS mx, least(b, g, r) AS mn FROM px)),
+hs AS (SELECT vec_id, floor((sixths * CASE WHEN d = 0 THEN 0 ELSE round_even(122880.0::double / d, 0)::bigint END + 2048) / 4096.0::double)::bigint AS hue,
+  floor((d * CASE WHEN mx = 0 THEN 0 ELSE round_even(1044480.0::double / mx, 0)::bigint END + 2048) / 4096.0::double)::bigint AS sat FROM h),
+c AS (SELECT vec_id, bin, count(*) AS n FROM (SELECT vec_id, (CASE WHEN hue < 0 THEN hue + 180 ELSE hue END) // 6 * 32 + sat // 8 AS bin, CASE WHEN hue < 0 THEN hue + 180 ELSE hue END AS hue FROM hs) WHERE hue < 180 GROUP BY ALL)
+SELECT vec_id AS frame, bin::int AS bin, round((n / sqrt(sum(n * n) OVER (PARTITION BY vec_id)))::float::double, 5) AS weight FROM c""",
+    "frame_scores": f"""WITH {_PIXELS},
+gray AS (SELECT vec_id, k, (b * 3735 + g * 19235 + r * 9798 + 16384) // 32768 AS y FROM px),
+d AS (SELECT vec_id, abs(y - lag(y) OVER (PARTITION BY k ORDER BY vec_id)) AS d FROM gray)
+SELECT vec_id AS frame, round(vec_id / 24.0::double, 3) AS time_sec, coalesce(sum(d), 0)::double AS score FROM d GROUP BY vec_id""",
     "anchor_selection": f"WITH {_ANCHORS} SELECT seg_index, start_frame, end_frame FROM anchor",
     "anchor_mean": f"WITH {_ANCHOR_MEAN} SELECT pos::int AS pos, round(v, 6) AS v FROM mean_",
     "vector_similarity": """
