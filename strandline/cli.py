@@ -25,7 +25,7 @@ from strandline.plans.segment import Features, segment
 from strandline.session import local_session
 from strandline.sinks import files
 from strandline.sources import containers, frames, y4m
-from strandline.sources.devices import SOFTWARE_ENCODERS, choose_encoder, run_text
+from strandline.sources.devices import LIST_DEVICES, SOFTWARE_ENCODERS, choose_encoder, device_lines, find_program, parse_devices, run_text
 from strandline.sources.scores import check_contiguous, read_scores
 
 
@@ -83,6 +83,10 @@ def write_video_scores(spark: SparkSession, video: str, out: str | None) -> int:
     return files.write_report(named, out or f"{name}.csv", ("Frame", "Time_Sec", "Difference_Score"), "Frame")
 
 
+def rate_of(video: str) -> float:
+    return containers.probe(video)[0]
+
+
 def main(args: Sequence[str] | None = None) -> int:
     given = _parser().parse_args(args)
     spark = local_session()
@@ -110,14 +114,23 @@ def main(args: Sequence[str] | None = None) -> int:
         print(f"{count} segments")
         return 0
     plan = clips.clip_plan(done.segments, rate)
+    frame_by_frame = clips.FrameCutter(y4m.raw_frame, y4m.write_raw, rate=rate_of)
+    uncompressed = bool(y4m.raw_frame(given.video, 0))
+    if given.command == "export" and uncompressed and not find_program("ffmpeg"):
+        joined = clips.join_frames(done.segments, sources, given.out, frame_by_frame, "joined.y4m").collect()  # the one video's
+        print("\n".join(f"{r['series_id']}: {r['frames']} frames" for r in joined))
+        return 0 if any(r["joined"] for r in joined) else 1
+    cutter = clips.FirstThatWorks((clips.FfmpegCutter(), *[frame_by_frame] * uncompressed))
     if given.command == "export":
-        cutter = clips.FfmpegCutter()
-        encoders = [choose_encoder(run_text([cutter.program, "-hide_banner", "-encoders"])), *SOFTWARE_ENCODERS]
-        exported = clips.export(plan, sources, given.out, cutter, list(dict.fromkeys(encoders)), tasks=given.workers).collect()
+        said = run_text([clips.FfmpegCutter().program, "-hide_banner", "-encoders"])
+        encoders = [choose_encoder(said), *SOFTWARE_ENCODERS]
+        devices = parse_devices(device_lines(spark, run_text(LIST_DEVICES)))
+        shared = None if devices.isEmpty() else devices
+        exported = clips.export(plan, sources, given.out, cutter, list(dict.fromkeys(encoders)), tasks=given.workers, devices=shared).collect()
         for r in exported:
             print(f"{r['series_id']}: {r['cut']} cut, {r['failed']} failed, {'joined' if r['joined'] else r['error']}")
         return 0 if any(r["joined"] for r in exported) else 1
-    results = clips.cut_clips(plan, sources, given.out, clips.FfmpegCutter(), SOFTWARE_ENCODERS, given.workers).persist()
+    results = clips.cut_clips(plan, sources, given.out, cutter, SOFTWARE_ENCODERS, given.workers).persist()
     count = files.write_clip_index(clips.clip_index(plan, results), os.path.join(given.out, "clips.csv"))
     clips.outcome(results).show()
     return 0 if count else 1

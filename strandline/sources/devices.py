@@ -40,7 +40,7 @@ def find_program(name: str) -> str | None:
 def parse_devices(lines: DataFrame) -> DataFrame:
     """``device, free_mb, place`` from lines ``index, MB``; decimals of MB are cut off, blank and malformed lines left out."""
     parts = F.split(F.trim("value"), r"\s*,\s*")
-    device, memory = parts.getItem(0).try_cast("int"), F.get(parts, F.lit(1)).try_cast("double").cast("int")
+    device, memory = parts.getItem(0).try_cast("int"), F.get(parts, F.lit(1)).try_cast("double").try_cast("int")
     return lines.select(device.alias("device"), memory.alias("free_mb"), "place").where("device IS NOT NULL AND free_mb IS NOT NULL")
 
 

@@ -10,7 +10,7 @@ A frame that is cut short at the end of a file isn't there.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
@@ -100,6 +100,30 @@ def read_frame(path: str, number: int) -> tuple[int, int, bytes] | None:
     return None if found is None else (video.width, video.height, found)
 
 
+def raw_frame(path: str, number: int) -> tuple[str, bytes] | None:
+    """A frame as it lies in its file, with the header that belongs to it, for ``write_raw``; None if there is none."""
+    try:
+        with opened(path) as file:
+            video = Y4m.of(file)
+            if not 0 <= number < video.count:
+                return None
+            file.seek(0)
+            header = file.read(video.start).decode("ascii")
+            file.seek(video.start + number * video.frame_bytes)
+            return header, file.read(video.frame_bytes)
+    except (OSError, ValueError):
+        return None
+
+
+def write_raw(target: str, frames: Iterable[tuple[str, bytes]], fps: float) -> None:
+    """Frames of ``raw_frame`` as a file, nothing lost; the first one's header holds for all."""
+    with open(target, "wb") as out:
+        for number, (header, frame) in enumerate(frames):
+            if not number:
+                out.write(header.encode("ascii"))
+            out.write(frame)
+
+
 @dataclass
 class Stretch(InputPartition):
     series_id: str

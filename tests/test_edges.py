@@ -216,3 +216,136 @@ def test_cutting_frame_by_frame(tmp_path):
     assert cutter("x", 1.0, 0.5, str(tmp_path / "one"), "") == (True, "") and (tmp_path / "one").read_text() == "10 11 12 13 14 15"
     assert cutter("x", 9.8, 5.0, str(tmp_path / "two"), "")[0] and (tmp_path / "two").read_text() == "98 99"
     assert not cutter("x", 20.0, 1.0, str(tmp_path / "three"), "")[0] and sorted(p.name for p in tmp_path.iterdir()) == ["one", "two"]
+
+
+def long_plan(spark, lengths):
+    spans, at = [], 0
+    for n in lengths:
+        spans.append((at, at + n))
+        at += n + 10
+    return clips.clip_plan(segments(spark, spans), rate(spark))
+
+
+@pytest.mark.parametrize("memory", [[(0, 1000)], [(0, 500), (1, 500)], [(0, 100), (3, 700), (5, 200)], [(0, 0), (1, 0)]])
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_devices_share_the_length(spark, memory, chunk):
+    lengths = np.random.default_rng(2).integers(30, 3000, 60).tolist()
+    plan = long_plan(spark, lengths)
+    devices_ = spark.createDataFrame(memory, "device int, free_mb int")
+    got = clips.with_devices(plan, devices_, chunk).collect()
+    assert len(got) == 60
+    total, weights = sum(lengths) / 30, {d: max(m, 1) for d, m in memory}
+    for d, w in weights.items():
+        own = sum(r["duration_sec"] for r in got if r["device"] == d)
+        assert abs(own - total * w / sum(weights.values())) <= max(lengths) / 30 + 0.01
+    assert {r["device"] for r in clips.with_devices(plan, devices_.limit(0), chunk).collect()} == {None}
+
+
+def test_the_program_sees_its_device(spark, tmp_path):
+    program = tmp_path / "ffmpeg"
+    program.write_text('#!/bin/sh\nfor last; do :; done\necho "device ${CUDA_VISIBLE_DEVICES}" > "$last"\n')
+    program.chmod(0o755)
+    plan = long_plan(spark, [300, 300])
+    sources = spark.createDataFrame([("s", "v.mp4")], "series_id string, path string")
+    both = spark.createDataFrame([(4, 100), (7, 100)], "device int, free_mb int")
+    cutter = clips.FirstThatWorks((clips.FfmpegCutter(program=str(program)),))
+    join = lambda listing, target: clips.join_clips(listing, target, program=str(program))
+    out = clips.export(plan, sources, str(tmp_path / "out"), cutter, ["x"], join, devices=both).collect()
+    assert [tuple(r) for r in out] == [("s", 2, 0, True, None)]
+    assert [(tmp_path / f"out/s/clip_000{i}.mp4").read_text() for i in (1, 2)] == ["device 4\n", "device 7\n"]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_export_again_gives_the_same_and_cuts_nothing(spark, tmp_path, keep):
+    plan = long_plan(spark, [30, 60, 90])
+    sources = spark.createDataFrame([("s", "v.mp4")], "series_id string, path string")
+    log, out = tmp_path / "log", tmp_path / "out"
+
+    def cut(source, start, duration, target, encoder):
+        with open(log, "a") as file:
+            file.write("cut\n")
+        if duration == 2.0:
+            return False, "broken"
+        with open(target, "w") as file:
+            file.write("clip")
+        return True, ""
+
+    def join(listing, target):
+        with open(log, "a") as file:
+            file.write("join\n")
+        if not all((out / "s" / line[6:-1]).exists() for line in open(listing).read().splitlines()):
+            return False, "a clip has gone"
+        with open(target, "w") as file:
+            file.write("joined")
+        return True, ""
+
+    done = clips.export(plan, sources, str(out), cut, ["x"], join, keep_clips=keep)
+    first = done.collect()
+    assert [tuple(r) for r in first] == [("s", 2, 1, True, None)] and done.collect() == first
+    assert clips.export(plan, sources, str(out), cut, ["x"], join, keep_clips=keep).collect() == first
+    assert log.read_text().split() == ["cut"] * 3 + ["join"]
+    left = sorted(p.name for p in (out / "s").iterdir())
+    assert left == (["clip_0001.mp4", "clip_0003.mp4", "clips.txt", "joined.mp4"] if keep else ["joined.mp4"])
+    assert (out / ".done" / "s.json").exists()
+    # Another plan is another job.
+    other = clips.export(plan.where("seg_index < 3"), sources, str(out), cut, ["x"], join).collect()
+    assert [tuple(r) for r in other] == [("s", 1, 1, True, None)] and log.read_text().split().count("cut") == 5
+
+
+def test_a_task_that_died_before_its_manifest_is_done_again(tmp_path):
+    import pandas as pd
+
+    part = pd.DataFrame([("s", 1, "a.mp4", True, None, 5), ("s", 2, "b.mp4", False, "said", 5)], columns=["series_id", "seg_index", "clip", "ok", "error", "plan"])
+    folder = tmp_path / "s"
+    folder.mkdir()
+    (folder / "a.mp4").write_text("x")
+
+    def join(listing, target):
+        with open(target, "w") as file:
+            file.write("x")
+        return True, ""
+
+    def die(*_):
+        raise OSError("lost")
+
+    real, clips.write_whole = clips.write_whole, lambda path, text: die() if path.endswith("json") else real(path, text)
+    try:
+        with pytest.raises(OSError, match="lost"):
+            clips._finish("s", part, str(tmp_path), join, False, "j.mp4")
+    finally:
+        clips.write_whole = real
+    assert (folder / "a.mp4").exists()  # nothing is removed before the manifest is there
+    want = (1, 1, True, None)
+    assert clips._finish("s", part, str(tmp_path), join, False, "j.mp4") == want == clips._finish("s", part, str(tmp_path), die, False, "j.mp4")
+    assert sorted(p.name for p in folder.iterdir()) == ["j.mp4"]
+
+
+def test_joining_frame_by_frame(spark, tmp_path):
+    """Both ends count, a failure ends a segment only, and nothing is written for a series without frames."""
+    spans = [("a", 1, 3, 5), ("a", 2, 8, 12), ("a", 3, 20, 21), ("b", 1, 0, 1), ("c", 1, 100, 110)]
+    found = spark.createDataFrame(spans, "series_id string, seg_index long, start_frame long, end_frame long")
+    sources = spark.createDataFrame([(s, s) for s in "abc"], "series_id string, path string")
+
+    def write(target, frames, fps):
+        with open(target, "w") as out:
+            out.write(f"{fps}: " + " ".join(map(str, frames)))
+
+    cutter = clips.FrameCutter(lambda path, n: None if n == 10 or n >= 100 else f"{path}{n}", write, rate=lambda path: 24.0 if path == "a" else 0.0)
+    got = {r["series_id"]: (r["frames"], r["joined"]) for r in clips.join_frames(found, sources, str(tmp_path), cutter, "j").collect()}
+    assert got == {"a": (7, True), "b": (2, True), "c": (0, False)}
+    assert (tmp_path / "a/j").read_text() == "24.0: a3 a4 a5 a8 a9 a20 a21" and (tmp_path / "b/j").read_text() == "30.0: b0 b1"
+    assert not list((tmp_path / "c").iterdir())
+    assert clips.join_frames(found.limit(0), sources, str(tmp_path), cutter).count() == 0
+
+
+def test_cutters_in_turn(tmp_path):
+    frame_by_frame = clips.FrameCutter(lambda path, n: "x", lambda target, frames, fps: open(target, "w").write("".join(frames)), fps=10.0)
+    both = clips.FirstThatWorks((clips.FfmpegCutter(program="/no/such/program"), frame_by_frame))
+    assert both("v", 0.0, 1.0, str(tmp_path / "c"), "libx264")[0] and (tmp_path / "c").read_text() == "x" * 11
+    ok, said = clips.FirstThatWorks((clips.FfmpegCutter(program="/no/such/program"),)).on(3)("v", 0.0, 1.0, str(tmp_path / "d"), "libx264")
+    assert not ok and "no/such" in said
+
+
+def test_devices_that_are_no_numbers(spark):
+    lines = devices.device_lines(spark, "0, 100\n1, NaN\n2, 1e99\n3, inf\n4\n5, 7.9")
+    assert [(r["device"], r["free_mb"]) for r in devices.parse_devices(lines).orderBy("place").collect()] == [(0, 100), (5, 7)]
