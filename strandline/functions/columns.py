@@ -36,10 +36,34 @@ def seconds(frames: Column, fps: Column | float) -> Column:
     return frames / (fps if isinstance(fps, Column) else F.lit(float(fps)))
 
 
+def hundredths(sec: Column) -> Column:
+    """``sec`` (0 to 64) in hundredths, rounded as C and Python print it: by the double's exact value, exact halves to even.
+
+    A double under 64 is a whole number of 2^-47 and a rest; all comparisons are of whole numbers.
+    """
+    unit, fine = 1 << 47, 1 << 30
+    whole = F.floor(sec * float(unit))
+    rest = F.floor((sec * float(unit) - whole) * float(fine))
+    low = F.floor(sec * 100)
+    # Twice the hundredths against the half above ``low``, in units and then in parts of them.
+    apart = (2 * low + 1) * unit - whole * 200
+    left = F.when(apart <= 0, apart).when(apart >= 200, apart).otherwise(apart * fine - rest * 200)
+    above = (left < 0) | ((left == 0) & ((apart != 0) | (rest == 0)) & (low % 2 == 1)) | ((apart == 0) & (rest > 0))
+    return F.when(above, low + 1).otherwise(low)
+
+
 def clock_label(sec: Column) -> Column:
     """``MM:SS.ss``; minutes go on past an hour."""
     minutes = F.floor(sec / 60)
-    return F.format_string("%02d:%05.2f", minutes, sec - minutes * 60)
+    parts = hundredths(sec - minutes * 60)
+    return F.format_string("%02d:%02d.%02d", minutes, F.floor(parts / 100), parts % 100)
+
+
+def two_digits(sec: Column) -> Column:
+    """``S.ss``, rounded as a label is."""
+    minutes = F.floor(sec / 60)
+    parts = hundredths(sec - minutes * 60)
+    return F.format_string("%d.%02d", minutes * 60 + F.floor(parts / 100), parts % 100)
 
 
 def clip_name(number: Column) -> Column:

@@ -227,7 +227,8 @@ def segments_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def active_segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _scores(spark, sf_dir).select("series_id", "frame", (F.col("frame") / FPS).alias("at_sec"))
-    found = timeline.active_segment(points, _rows(spark, sf_dir), bucket_sec=30.0)
+    rows = report.segment_rows(_kept_segments(spark, sf_dir), _one_fps(spark))
+    found = timeline.active_segment(points, rows, bucket_sec=30.0)
     return found.select("frame", F.coalesce("active", F.lit(-1)).cast("long").alias("active"))
 
 
@@ -238,6 +239,55 @@ def timeline_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("index").alias("seg_index"), F.round("left_pct", 6).alias("left_pct"), F.round("width_pct", 6).alias("width_pct"), F.col("colour").cast("long").alias("colour"))
 
 
+def block_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = _scores(spark, sf_dir).agg((F.count("*") / FPS).alias("total_sec"))
+    found = timeline.blocks(_rows(spark, sf_dir).crossJoin(F.broadcast(total)), F.col("total_sec"))  # one row
+    return found.select(F.col("index").alias("seg_index"), "title", columns.zoom(F.col("index") * 10).cast("long").alias("zoom"))
+
+
+def labels_at_24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label and a rounded time for every frame, at a rate where halves occur."""
+    frame, rate = F.col("event_id"), F.lit(24.0)
+    return _table(spark, sf_dir, "events").select(frame.alias("frame"), columns.clock_label(columns.seconds(frame, rate)).alias("label"), columns.frame_time(frame, rate).alias("time_sec"))
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and length of each type's series; some have no rate or no count of frames."""
+    scores = _per_type(spark, sf_dir)
+    every = scores.groupBy("series_id").agg(F.count("*").alias("n"))
+    metadata = every.select("series_id", (F.col("n") % 3 * 12.5).alias("fps"), F.when(F.col("n") % 2 == 0, F.col("n")).alias("frame_count"))
+    return frames.durations(metadata, scores).select("series_id", "fps", F.round("duration_sec", 6).alias("duration_sec"))
+
+
+def device_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices from lines of text, some of them malformed."""
+    key, free = F.col("s_suppkey"), F.col("s_acctbal")
+    line = F.when(key % 7 == 0, "").when(key % 7 == 1, F.concat_ws(",", key, F.lit("NaN"))).when(key % 7 == 2, F.concat(F.lit("x"), key)).otherwise(F.concat(F.lit(" "), key, F.lit(" , "), free))
+    lines = _table(spark, sf_dir, "supplier").select(line.alias("value"), key.cast("long").alias("place"))
+    return devices.parse_devices(lines).select("device", "free_mb")
+
+
+def _results(plan: DataFrame) -> DataFrame:
+    """Every third clip failed."""
+    return plan.select("series_id", "seg_index", "clip", (F.col("seg_index") % 3 != 0).alias("ok"))
+
+
+def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = clips.clip_plan(_segments(spark, sf_dir), _one_fps(spark))
+    return clips.clip_index(plan, _results(plan)).drop("series_id")
+
+
+def clip_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips.outcome(_results(clips.clip_plan(_segments(spark, sf_dir), _one_fps(spark)))).select("cut", "failed")
+
+
+def clip_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which device cuts which clip; nations stand for devices."""
+    own = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("device"), (F.col("n_regionkey") * 300 + 100).alias("free_mb"))
+    plan = clips.clip_plan(_segments(spark, sf_dir), _one_fps(spark))
+    return clips.with_devices(plan, own, chunk=16).select("seg_index", "device")
+
+
 def clip_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.clip_plan(_segments(spark, sf_dir), _one_fps(spark)).drop("series_id")
 
@@ -292,6 +342,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         segments_verified,
         active_segment_lookup,
         timeline_blocks,
+        block_titles,
+        labels_at_24,
+        durations,
+        device_inventory,
+        clip_index,
+        clip_outcome,
+        clip_devices,
         clip_plan,
         concat_listing,
         best_device,
@@ -469,6 +526,22 @@ FROM events LEFT JOIN rows_ ON event_id / {FPS} BETWEEN start_sec AND end_sec GR
     "timeline_blocks": f"""WITH {_ROWS}, t AS (SELECT count(*) / {FPS} AS total FROM events)
 SELECT seg_index, round(start_sec / total * 100, 6) AS left_pct, round(greatest(duration_sec / total * 100, 0.3), 6) AS width_pct, (seg_index - 1) % 6 AS colour FROM rows_, t""",
     "clip_plan": f"WITH {_ROWS} SELECT seg_index, printf('clip_%04d.mp4', seg_index) AS clip, start_frame, end_frame, start_sec, end_sec, duration_sec FROM rows_",
+    "block_titles": f"""WITH {_ROWS}
+SELECT seg_index, printf('#%d ', seg_index) || {_LABEL.format('a')} || ' - ' || {_LABEL.format('b')} || printf(' (%.2fs)', duration_sec) AS title,
+  least(greatest(seg_index * 10, 50), 300)::bigint AS zoom FROM rows_""",
+    "labels_at_24": f"SELECT event_id AS frame, {_LABEL.format('(event_id / 24.0::double)')} AS label, round(event_id / 24.0::double, 3) AS time_sec FROM events",
+    "durations": f"""WITH {_TYPED},
+n AS (SELECT series_id, count(*) AS n, max(round(frame / {FPS}, 3)) AS last FROM typed GROUP BY series_id),
+m AS (SELECT series_id, last, CASE WHEN n % 2 = 0 THEN n END AS n, CASE WHEN n % 3 > 0 THEN n % 3 * 12.5::double ELSE 30 END AS fps FROM n)
+SELECT series_id, fps, round(CASE WHEN n > 0 THEN n / fps ELSE last END, 6) AS duration_sec FROM m""",
+    "device_inventory": "SELECT s_suppkey::int AS device, trunc(s_acctbal)::int AS free_mb FROM supplier WHERE s_suppkey % 7 > 2",
+    "clip_index": f"WITH {_ROWS} SELECT printf('clip_%04d.mp4', seg_index) AS clip, start_frame, end_frame, start_sec, end_sec, duration_sec FROM rows_ WHERE seg_index % 3 <> 0",
+    "clip_outcome": f"WITH {_ROWS} SELECT count(*) FILTER (seg_index % 3 <> 0) AS cut, count(*) FILTER (seg_index % 3 = 0) AS failed FROM rows_",
+    "clip_devices": f"""WITH {_ROWS},
+at_ AS (SELECT seg_index, (sum(duration_sec) OVER (ORDER BY seg_index ROWS UNBOUNDED PRECEDING) - duration_sec / 2) / sum(duration_sec) OVER () AS spot FROM rows_),
+w AS (SELECT n_nationkey, n_regionkey * 300 + 100 AS w FROM nation),
+d AS (SELECT n_nationkey, sum(w) OVER (ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)::double / sum(w) OVER ()::double AS high, w::double / sum(w) OVER ()::double AS own FROM w)
+SELECT seg_index, n_nationkey::int AS device FROM at_ JOIN d ON spot >= high - own AND spot < high""",
     "concat_listing": f"WITH {_MANUAL} SELECT string_agg(printf('file ''clip_%04d.mp4''', seg_index), chr(10) ORDER BY seg_index) AS listing FROM seg",
     "segments_json": f"""WITH {_ROWS}
 SELECT to_json(list({{'index': seg_index, 'start_frame': start_frame, 'end_frame': end_frame, 'start_sec': start_sec, 'end_sec': end_sec,

@@ -132,6 +132,42 @@ def test_lookup_takes_the_first_and_both_ends(spark):
     assert got == {0.0: 1, 2.5: 1, 3.0: 1, 3.5: 2, 20.0: 2, 25.0: None, 30.0: 3}
 
 
+def test_lookup_equals_a_scan_of_all_segments(spark):
+    """Segments of hours and of one frame, overlapping or touching, far from any point; repeated points and clashing names."""
+    rng = np.random.default_rng(9)
+    spans = [(0, 400_000), (10, 10), (10, 50), (400_000, 400_000), (500_000, 500_030), (900_000, 2_000_000)]
+    more = sorted((int(a), int(a + n)) for a, n in zip(rng.integers(600_000, 800_000, 40), rng.integers(0, 9000, 40), strict=True))
+    own = {"s": sorted(spans + more), "t": [(30, 60)], "u": []}
+    found = [(k, i + 1, a / 30, b / 30) for k, v in own.items() for i, (a, b) in enumerate(v)]
+    rows = spark.createDataFrame(found, "series_id string, index long, start_sec double, end_sec double")
+    times = [*(a / 30 for a, _ in own["s"]), *(b / 30 for _, b in own["s"]), *rng.uniform(0, 70_000, 300).tolist(), 1.5, 1.5, -3.0, 1e7]
+    points = [(k, float(t), i, 0, 2.0) for k in "stuv" for i, t in enumerate(times)] + [("s", None, -1, 0, 1.0)]
+    df = spark.createDataFrame(points, "series_id string, at_sec double, n int, index int, end double")
+    for bucket in (7.0, 600.0, 1e9):
+        got = {(r["series_id"], r["n"]): r["active"] for r in timeline.active_segment(df, rows, bucket).collect()}
+        assert len(got) == len(points)
+        for k, t, n, *_ in points:
+            want = next((i for s, i, a, b in found if s == k and t is not None and a <= t <= b), None)
+            assert got[k, n] == want, (k, t)
+
+
+def test_lookup_moves_the_points_once(spark):
+    rows = report.segment_rows(segments(spark, [(0, 90)]), rate(spark))
+    points = spark.range(1000).selectExpr("'s' AS series_id", "id / 10 AS at_sec", "repeat('x', 50) AS wide")
+    plan = timeline.active_segment(points, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(x, 50)") + plan.count("x" * 50) == 1
+
+
+def test_labels_are_as_c_prints_them(spark):
+    """At 24 frames a second exact halves occur, which go to the even digit."""
+    values = [i / 24 for i in range(3000)] + [i / 200 for i in range(12_400)] + [0.125, 59.995, 59.996, 1e-12, 3599.999]
+    values += [float(np.nextafter(v, 1e9)) for v in values] + [float(np.nextafter(v, 0)) for v in values]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", columns.clock_label(F.col("v")).alias("label")).collect()
+    for r in rows:
+        minutes = int(r["v"] // 60)
+        assert r["label"] == f"{minutes:02d}:{r['v'] - minutes * 60:05.2f}"
+
+
 def test_clips(spark, tmp_path):
     plan = clips.clip_plan(segments(spark, [(0, 30), (60, 120), (150, 180)]), rate(spark))
     sources = spark.createDataFrame([("s", "v.mp4")], "series_id string, path string")
