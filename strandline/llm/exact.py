@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.filters import MOST_BITS, may_be_among
 from strandline.llm.storage import shared_folder, written
 
 #: State is kept by RocksDB on executors' disks, with changes written to the shared folder.
@@ -50,7 +51,7 @@ class ExactConfig:
     #: Input of one batch of the stream; a batch is a job of its own and the unit of recovery.
     batch_bytes: int = 1 << 40
     #: Most bits of the filter that tells which rows may be hits; 16 MB.
-    filter_bits: int = 1 << 27
+    filter_bits: int = MOST_BITS
 
 
 @contextmanager
@@ -94,32 +95,13 @@ def held(spark: SparkSession, folder: str) -> DataFrame:
     return state.select("key.digest", F.col("value.count").alias("n"), F.col("value.max").alias("last"))
 
 
-def _may_hit(hits: DataFrame, config: ExactConfig):
-    """A filter for rows with ``digest``: all that ``hits`` has pass, few others do. Its size is bounded."""
-    bits = 1 << 15
-    while bits < min(16 * hits.count(), config.filter_bits):
-        bits *= 2
-    bit = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
-    table = hits.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("at"))
-    table = table.groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__bits"))
-
-    def passed(rows: DataFrame) -> DataFrame:
-        # At most filter_bits / 32768 rows of 4 KB.
-        joined = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(table), "__bucket")
-        at = F.bitmap_bit_position(bit)
-        byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
-
-    return passed
-
-
 def members(spark: SparkSession, path: str, folder: str, config: ExactConfig = ExactConfig()) -> DataFrame:
     """``doc_id, place, digest, n, last`` for every row: how many rows have its text, and id and place of the one that stays."""
     rows = spark.read.parquet(path).select("doc_id", "text", "_metadata")
     rows = rows.select("doc_id", _place().alias("place"), config.digest(_content()).alias("digest"), _content().alias("content"))
     groups = written(held(spark, folder))
     hits = groups.where("n > 1").select("digest")
-    suspects = _may_hit(hits, config)(rows)
+    suspects = may_be_among(hits, "digest", config.filter_bits)(rows)
     # Copies within a task are compared there; one of them moves.
     contents = suspects.select("digest", "content").distinct().join(hits, "digest", "left_semi")
     mixed = written(contents.groupBy("digest").count().where("count > 1").select("digest"))
