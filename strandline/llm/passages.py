@@ -36,7 +36,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
-from strandline.llm.filters import may_be_among
 from strandline.llm.groups import dealt, links_of_groups
 from strandline.llm.storage import discard, written
 
@@ -258,16 +257,14 @@ def similar_links(docs: DataFrame, contents: DataFrame, config: PassageConfig =
     # Only what collides is followed further.
     colliding = written(keyed.select("key", "content").join(spread, "key"))
     # A content has one document that it is read from again, whose text is taken once.
-    wanted = contents.select(F.col("low").alias("row"), "content").join(colliding.select("content").distinct(), "content", "left_semi")
-    wanted = written(wanted.groupBy("row").agg(F.collect_list("content").alias("wanted")))
-    # Only texts that may be wanted are shuffled; of repeated rows one goes on.
-    held = may_be_among(wanted, "row")(_numbered(docs).select("row", "text"))
-    texts = held.join(wanted, "row").dropDuplicates(["row"]).select("text", "wanted")
+    wanted = contents.select(F.col("low").alias("row"), "content").join(colliding.select("content").distinct(), "content", "left_semi").groupBy("row").agg(F.collect_list("content").alias("wanted"))
+    # Joined first, so that of repeated rows only wanted ones are sorted again.
+    texts = _numbered(docs).select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("text", "wanted")
     sets = texts.mapInArrow(_shingle_sets(config), "content long, shingles array<long>").dropDuplicates(["content"])
     grouped = dealt(colliding, "content", config.group_rows).join(sets, "content").select("group", "content", "shingles")
     ordered = grouped.repartition("group").sortWithinPartitions("group")
     links = written(ordered.mapInArrow(links_of_groups(config.similarity, lambda x: x.values.to_numpy()), "a long, b long"))
-    discard(colliding, wanted)
+    discard(colliding)
     return links.distinct()
 
 
