@@ -6,7 +6,7 @@ a hash of the document's id and a seed gives, so a rerun, on any cluster,
 repeats the same documents as often.
 
 Defined results: documents without a source share one source of their own. A
-null text has size 1 like an empty one. Rows with the same id are drawn alike;
+null text has size 1 like an empty one; of texts only the size is read, however long. Rows with the same id are drawn alike;
 a null id is drawn as the empty text. Sources without a target weight, or with
 weight zero, are left out. An empty table gives an empty result. Extra columns
 are kept; ``copy`` and ``shuffle_key`` are added, and take the place of columns

@@ -11,7 +11,9 @@ against packing all at once.
 
 Defined results: a null text is an empty one, which has the end token alone.
 Rows with equal ids, or without one, are separate documents. Columns other than
-``doc_id`` and ``text`` are ignored. An empty table gives an empty result.
+``doc_id`` and ``text`` are ignored. An empty table gives an empty result. A
+text of any length is cut into as many pieces as it takes; pieces of equal
+length may change places with each other, and all of them have one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Defined results: vectors that are null, empty, or hold a null or a number that
 is not finite take no part, nor do rows without an id. A query's own row is any
 row with its id; a query id that is there twice counts once. Only vectors of the
 query's length are its candidates. Fewer than k candidates are all given. Ties
-go to the smaller id. Scores are exact while they stay below 2**53.
+go to the smaller id. Scores are exact while they stay below 2**53. An empty table,
+or one without queries, gives an empty result. Columns but the first two aren't read.
 """
 
 from __future__ import annotations

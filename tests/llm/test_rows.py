@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, media, mixing, packing, passages, pii, shards, simhash, toxicity
+from strandline.llm import langid, media, mixing, packing, passages, pii, shards, simhash, topk, toxicity
 from tests.llm.conftest import ODD, PLAIN, make
 
 
@@ -128,3 +128,14 @@ def test_passages(spark, docs, no_docs):
 def test_too_few_blocks(bad):
     with pytest.raises(ValueError, match="blocks"):
         simhash.SimHashConfig(blocks=bad).masks()
+
+
+def test_topk(spark):
+    schema = "vec_id long, embedding array<float>, rank int, score long, query_id long, vec string"
+    nan = float("nan")
+    rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (1, None), (2, []), (3, [nan, 1.0]), (None, [1.0, 1.0]), (4, [0.5, 0.5]), (100, [1.0])]
+    df = spark.createDataFrame([(i, v, 7, 7, 7, "x") for i, v in rows], schema)
+    got = [tuple(r) for r in topk.exact_top_k(df.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()]
+    assert {q for q, *_ in got} == {0, 50} and sorted(v for q, _, v, _ in got if q == 50) == [0, 4]
+    for some in (df.limit(0), df.where("vec_id = 4")):
+        assert topk.exact_top_k(some.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0).count() == 0
