@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandline.llm import langid, media, mixing, packing, passages, pii, shards, simhash, topk, toxicity
 from tests.llm.conftest import ODD, PLAIN, make
 
@@ -139,3 +140,19 @@ def test_topk(spark):
     assert {q for q, *_ in got} == {0, 50} and sorted(v for q, _, v, _ in got if q == 50) == [0, 4]
     for some in (df.limit(0), df.where("vec_id = 4")):
         assert topk.exact_top_k(some.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_pipeline(spark, docs, no_docs, tmp_path):
+    """Null, empty and repeated rows, clashing names and an empty table through all stages."""
+    for name, given in (("odd", docs), ("none", no_docs)):
+        own = given
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, own, str(tmp_path))
+            assert made.columns == given.columns
+            path = str(tmp_path / f"{name}{len(list(tmp_path.iterdir()))}.parquet")
+            made.write.parquet(path)
+            own = spark.read.parquet(path)
+        packed = corpus_pipeline.STAGES[-1][1](spark, own, str(tmp_path)).collect()
+        ids = {r["doc_id"] for r in packed}
+        assert ids <= {4, 7, 8, 9, 10, None} and {r["doc_id"] for r in own.collect()} == ids
+        assert name == "odd" or not packed
