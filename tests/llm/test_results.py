@@ -724,6 +724,30 @@ def crowded_texts():
     return out
 
 
+def test_a_shared_passage_makes_no_candidates(spark):
+    """Sets of one key that have three in five shingles in common, all of different components: what is made grows in proportion."""
+    made = {}
+    for n in (300, 1200):
+        common = np.arange(1, 61, dtype=np.uint64) << np.uint64(32)
+        sets = [np.unique(np.r_[common, similar._mixed(np.arange(i * 40 + 1, i * 40 + 41, dtype=np.uint64))]) for i in range(n)]
+        sets += [np.r_[s[:-1], s[-1] + np.uint64(1)] for s in sets[:5]]
+        rows = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "content long, component long, shingles binary")
+        made[n] = similar.groups_by_rarest(rows).count()
+        assert sorted(tuple(sorted(r)) for r in similar.crossing_links(rows).collect()) == [(i, n + i) for i in range(5)]
+    assert made[1200] <= 4 * made[300]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=40, unique=True), st.lists(st.integers(0, 60), min_size=1, max_size=40, unique=True), st.integers(0, 99))
+def test_similar_sets_have_a_rare_shingle_in_common(one, two, seed):
+    counts = np.random.default_rng(seed).integers(0, 4, 16)
+    x, y = (np.array(sorted(z), np.uint64) for z in (one, [*one[: len(one) - len(one) // 8], *two[:1]]))
+    y = np.unique(y)
+    both = len(np.intersect1d(x, y))
+    if both >= 0.8 * (len(x) + len(y) - both):
+        assert len(np.intersect1d(similar.rarest(x, counts, 0.8), similar.rarest(y, counts, 0.8)))
+
+
 def test_nodes_of_different_components_meet(spark):
     table = [("a", i, 1) for i in range(50)] + [("a", 100 + i, 2 + i % 9) for i in range(21)] + [("b", i, 5) for i in range(40)] + [("c", i, i) for i in range(5)]
     rows = groups.dealt_across(spark.createDataFrame(table, "key string, node long, component long"), "node", 8).collect()
