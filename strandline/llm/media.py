@@ -7,10 +7,9 @@ as fixed-shape Arrow tensors with the time span of each.
 
 Defined results: a null text is an empty one; it gives one unit of padding.
 Repeated rows are processed alike and all kept. Equal texts give equal bytes
-and digests, as each is computed on its own; tensors are float32, whose last
-bits, and with them ``tensors_sha256`` and a segment's border, may differ
-between processors, while ``energies_sha256`` is of whole numbers. Long texts are processed
-in blocks of frames. Extra columns are ignored. An empty table gives an empty result.
+and digests, as each is computed on its own: filters, spectra, mel bands and
+energies are sums of whole numbers below 2^53, which any processor and any
+order of adding work out alike. Long texts are processed in blocks of frames. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,12 +44,11 @@ class AudioConfig:
     mels: int = 40
     #: Frames of a tensor.
     tensor_frames: int = 32
-    #: Decibels above the median at which a segment begins, and below which it ends.
-    enter_db: float = 1.0
-    leave_db: float = 0.0
+    #: Ten-thousandths of the median energy at which a segment begins (1 dB above it), and below which it ends.
+    enter: int = 12_589
+    leave: int = 10_000
     #: Frames computed at once.
     block_frames: int = 4096
-    floor: float = 1e-10
 
     @property
     def new_rate(self) -> float:
@@ -58,13 +56,13 @@ class AudioConfig:
 
     @cached_property
     def phases(self) -> np.ndarray:
-        """The low-pass filter by phase: a windowed sinc, each row reversed for a dot product with samples."""
+        """The low-pass filter by phase: a windowed sinc in 1024ths, each row reversed for a dot product with samples."""
         cut = 1.0 / max(self.up, self.down)
         half = self.reach * max(self.up, self.down)
         half += -half % self.up
         t = np.arange(-half, half + self.up)
         taps = np.sinc(cut * t) * cut * self.up * np.where(np.abs(t) <= half, 0.5 + 0.5 * np.cos(np.pi * t / (half + 1)), 0)
-        return np.ascontiguousarray(taps.reshape(-1, self.up).T[:, ::-1], dtype=np.float32)
+        return np.ascontiguousarray(np.rint(taps.reshape(-1, self.up).T[:, ::-1] * 1024))
 
     @property
     def lead(self) -> int:
@@ -74,17 +72,24 @@ class AudioConfig:
 
     @cached_property
     def filterbank(self) -> np.ndarray:
-        """Triangles evenly spaced in mel, each overlapping its neighbours by half."""
+        """Triangles evenly spaced in mel, each overlapping its neighbours by half, in 256ths."""
         top = 2595 * np.log10(1 + self.new_rate / 2 / 700)
         edges = 700 * (10 ** (np.linspace(0, top, self.mels + 2) / 2595) - 1)
         f = np.linspace(0, self.new_rate / 2, self.fft // 2 + 1)[:, None]
         rise = (f - edges[:-2]) / (edges[1:-1] - edges[:-2])
         fall = (edges[2:] - f) / (edges[2:] - edges[1:-1])
-        return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+        return np.rint(256 * np.maximum(0, np.minimum(rise, fall)))
 
     @cached_property
-    def window(self) -> np.ndarray:
-        return np.hanning(self.frame).astype(np.float32)
+    def waves(self) -> np.ndarray:
+        """Cosines of each frequency, then sines, under a Hann window, in 4096ths."""
+        angle = 2 * np.pi * np.outer(np.arange(self.frame), np.arange(self.fft // 2 + 1)) / self.fft
+        return np.rint(4096 * np.hanning(self.frame)[:, None] * np.concatenate([np.cos(angle), np.sin(angle)], axis=1))
+
+    @cached_property
+    def sixteenths(self) -> np.ndarray:
+        """Where the logarithm to base 2 passes the next sixteenth, from a half to one."""
+        return np.exp2(np.arange(1, 16) / 16 - 1)
 
 
 def payload_of_text(text: str | None) -> bytes:
@@ -112,8 +117,8 @@ def payload_of_wav(media: bytes) -> bytes:
 
 
 def resampled(samples: np.ndarray, a: int, b: int, config: AudioConfig) -> np.ndarray:
-    """Outputs ``a`` to ``b`` of the polyphase resampler; samples beyond the ends are zero."""
-    out = np.zeros(b - a, dtype=np.float32)
+    """Outputs ``a`` to ``b`` of the polyphase resampler, times 16; samples beyond the ends are zero."""
+    out = np.zeros(b - a)
     width = config.phases.shape[1]
     for phase in range(config.up):
         # Output m stands at sample m * down / up; those with one phase are ``up`` apart and share a filter.
@@ -127,34 +132,33 @@ def resampled(samples: np.ndarray, a: int, b: int, config: AudioConfig) -> np.nd
         part = np.pad(part, (min(max(0, -base), end - base - len(part)), 0))
         part = np.pad(part, (0, end - base - len(part)))
         out[first - a :: config.up] = sliding_window_view(part, width)[:: config.down] @ config.phases[phase]
-    return out
+    return np.floor((out + 32) / 64)
 
 
 def log_mel(payload: bytes, config: AudioConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies and the energy in decibels of each frame."""
-    samples = np.frombuffer(payload, dtype=np.uint8).astype(np.float32) / 128 - 1
+    """Of each frame the log-mel energies, in sixteenths of powers of two, and the energy; whole numbers.
+
+    Numbers are doubles for the sake of fast products. Samples have 8 bits, so
+    resampled ones have 13, spectra 20 after the shift, and powers of all bands
+    together less than 2^50.
+    """
+    samples = np.frombuffer(payload, dtype=np.uint8).astype(np.float64) - 128
     total = -(-len(samples) * config.up // config.down)
     frames = 1 + max(0, -(-(total - config.frame) // config.hop))
-    mel = np.empty((frames, config.mels), dtype=np.float32)
-    power = np.empty(frames, dtype=np.float32)
+    mel = np.empty((frames, config.mels), dtype=np.int16)
+    energy = np.empty(frames, dtype=np.int64)
+    half = config.waves.shape[1] // 2
     for a in range(0, frames, config.block_frames):
         b = min(frames, a + config.block_frames)
         start, end = a * config.hop, (b - 1) * config.hop + config.frame
         sound = np.pad(resampled(samples, start, min(end, total), config), (0, max(0, end - total)))
-        cut = sliding_window_view(sound, config.frame)[:: config.hop]
-        power[a:b] = np.einsum("ij,ij->i", cut, cut) / config.frame
-        spectrum = np.fft.rfft(cut * config.window, config.fft)
-        mel[a:b] = np.log((spectrum.real**2 + spectrum.imag**2) @ config.filterbank + config.floor)
-    return mel, 10 * np.log10(power + config.floor)
-
-
-def energies(payload: bytes, config: AudioConfig) -> np.ndarray:
-    """The energy of each frame of the samples as stored, in whole numbers: alike on any processor."""
-    samples = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
-    total = np.concatenate([[0], np.cumsum(samples * samples)])
-    frame, hop = (x * config.down // config.up for x in (config.frame, config.hop))
-    first = np.arange(0, max(1, len(samples) - frame + hop), hop)
-    return total[np.minimum(first + frame, len(samples))] - total[np.minimum(first, len(samples))]
+        cut = np.ascontiguousarray(sliding_window_view(sound, config.frame)[:: config.hop])
+        energy[a:b] = np.einsum("ij,ij->i", cut, cut)
+        both = np.floor((cut @ config.waves + 2048) / 4096)
+        power = np.floor((both[:, :half] ** 2 + both[:, half:] ** 2) / 64)
+        part, exponent = np.frexp(power @ config.filterbank + 1)
+        mel[a:b] = 16 * (exponent - 1) + np.searchsorted(config.sixteenths, part, side="right")
+    return mel, energy
 
 
 def active_frames(energy: np.ndarray, enter: float, leave: float) -> np.ndarray:
@@ -164,19 +168,23 @@ def active_frames(energy: np.ndarray, enter: float, leave: float) -> np.ndarray:
     return (last >= 0) & (sign[last] > 0)
 
 
-def segments(active: np.ndarray, config: AudioConfig) -> list[tuple[float, float]]:
+def borders(active: np.ndarray) -> np.ndarray:
+    """First and last frame of each segment."""
     edge = np.diff(np.r_[0, active.astype(np.int8), 0])
+    return np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1], axis=1)
+
+
+def segments(active: np.ndarray, config: AudioConfig) -> list[tuple[float, float]]:
     step, length = config.hop / config.new_rate, config.frame / config.new_rate
-    starts, ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
-    return [(round(a * step, 4), round(b * step + length, 4)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [(round(a * step, 4), round(b * step + length, 4)) for a, b in borders(active).tolist()]
 
 
 def tensors(mel: np.ndarray, config: AudioConfig) -> pa.RecordBatch:
     """The frames as tensors of one shape, the last filled up with silence; with time spans and frame counts."""
     size, step = config.tensor_frames, config.hop / config.new_rate
     count = -(-len(mel) // size)
-    full = np.full((count * size, config.mels), np.float32(np.log(config.floor)), dtype=np.float32)
-    full[: len(mel)] = mel
+    full = np.zeros((count * size, config.mels), dtype=np.float32)
+    full[: len(mel)] = mel / np.float32(16)
     cube = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(count, size, config.mels))
     first = np.arange(count) * size
     frames = np.minimum(size, len(mel) - first)
@@ -198,7 +206,7 @@ def from_ipc(stored: bytes) -> pa.Table:
 
 MEDIA = (
     "doc_id long, n_bytes long, media binary, tensors binary, frames long, mels int, "
-    "segments array<struct<start_s: double, end_s: double>>, tensors_sha256 string, energies_sha256 string"
+    "segments array<struct<start_s: double, end_s: double>>, tensors_sha256 string, feature string"
 )
 _ARROW = pa.schema(
     [
@@ -210,7 +218,7 @@ _ARROW = pa.schema(
         ("mels", pa.int32()),
         ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
         ("tensors_sha256", pa.string()),
-        ("energies_sha256", pa.string()),
+        ("feature", pa.string()),
     ]
 )
 #: Bytes of results that are handed on at once.
@@ -222,12 +230,14 @@ def features_of(text: str | None, config: AudioConfig) -> tuple:
     media = wav(payload_of_text(text), config.rate)
     payload = payload_of_wav(media)
     mel, energy = log_mel(payload, config)
-    exact = hashlib.sha256(energies(payload, config).astype("<i8").tobytes()).hexdigest()
-    middle = float(np.median(energy))
-    on = active_frames(energy, middle + config.enter_db, middle + config.leave_db)
+    # The lower median, and thresholds in ten-thousandths: whole numbers throughout.
+    middle = int(np.partition(energy, (len(energy) - 1) // 2)[(len(energy) - 1) // 2])
+    on = active_frames(energy * 10_000, middle * config.enter, middle * config.leave)
     spans = [{"start_s": a, "end_s": b} for a, b in segments(on, config)]
+    digest = hashlib.sha256(mel.astype("<i2").tobytes() + borders(on).astype("<i8").tobytes()).hexdigest()
+    feature = f"{len(mel)}:{config.mels}:{digest}"
     stored = to_ipc(tensors(mel, config))
-    return len((text or "").encode()), media, stored, len(mel), config.mels, spans, hashlib.sha256(stored).hexdigest(), exact
+    return len((text or "").encode()), media, stored, len(mel), config.mels, spans, hashlib.sha256(stored).hexdigest(), feature
 
 
 def audio_features(docs: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:

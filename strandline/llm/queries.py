@@ -29,7 +29,6 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.audio_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
     payload = F.substring("media", media.HEADER.size + 1, (1 << 31) - 1)
-    feature = F.concat_ws(":", "frames", "mels", "energies_sha256")
     return found.withColumn("payload", payload).select(
         "doc_id",
         "n_bytes",
@@ -38,7 +37,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        feature.alias("feature"),
+        "feature",
     )
 
 
