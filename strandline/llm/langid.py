@@ -40,7 +40,7 @@ AT_ONCE = 500_000
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    #: The classifier is fitted on about this many labelled rows, picked by a hash of their id.
+    #: The classifier is fitted on at most this many labelled rows, picked by a hash of their id and text.
     sample_rows: int = 8_000
     longest_gram: int = 5
     smoothing: float = 0.5
@@ -96,12 +96,26 @@ def _one_gram(gram: str) -> int:
 
 
 def _labelled_sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` of the labelled rows, whatever their number; the same ones each time."""
+    """At most ``rows`` of the labelled rows, whatever their number; the same ones each time.
+
+    They are picked by a hash of id and text, so an id of many rows neither
+    fills the sample nor leaves it empty.
+    """
     there = labelled.count()
     if there <= rows:
         return labelled
-    share = F.lit(int(rows / there * (1 << 30)))
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    picked = labelled.withColumn("at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    share = (rows + 6 * rows**0.5) / there
+    while True:
+        some = written(picked.where(F.col("at") < min(1.0, share) * (1 << 30)))
+        # Rows that are alike in all are picked together or not at all; where they are most of the table, more is looked at.
+        if share >= 1 or some.count() >= rows / 2:
+            break
+        discard(some)
+        share *= 8
+    least = written(some.orderBy("at").limit(rows).drop("at"))
+    discard(some)
+    return least.repartition(labelled.sparkSession.sparkContext.defaultParallelism)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,17 +296,37 @@ def broadcast_model(spark: SparkSession, model: LangIdModel) -> Broadcast:
     return spark.sparkContext.broadcast(model)
 
 
-def keep_identified(docs: DataFrame, least_depth: float = 4.6, config: LangIdConfig = LangIdConfig()) -> DataFrame:
+def keep_identified(docs: DataFrame, least_share: float = 0.8, config: LangIdConfig = LangIdConfig()) -> DataFrame:
     """The rows of ``docs`` whose text is in a language that labelled rows have; columns as they are.
 
-    Texts without a letter go, and those whose words are known less deep than
-    ``least_depth`` on average: in texts of a learned language, words are known
-    whole or by 5-grams (depth 5 to 6); in texts of another, or of no language,
-    mostly by shorter ones. Without labelled rows nothing can be judged, and
-    only texts without a letter go.
+    Texts without a letter go, and those whose words are known much less deep
+    than usual: in texts of a learned language, words are known whole or by
+    5-grams (depth 5 to 6); in texts of another, or of no language, mostly by
+    shorter ones. No text is evidence for itself: there are two models, each of
+    the labelled rows of one half of all texts, and a text is judged by that of
+    the other half, copies of it included. What is usual is the median depth of
+    the sampled texts labelled with a language under the other half's model; a
+    text needs ``least_share`` of that of the language it is taken for. Without labelled rows in the other half nothing can
+    be judged, and only texts without a letter go.
     """
-    model = fit(docs, config)
-    if not model.languages:
-        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = identify(F.col("text"), broadcast_model(docs.sparkSession, model))
-    return docs.where((found["lang_pred"] != UNKNOWN) & (found["depth"] >= least_depth))
+    half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2))
+    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    samples = [written(_labelled_sample(labelled.where(half == i), config.sample_rows)) for i in (0, 1)]
+    models = [fit(s, config) for s in samples]
+    sent = [broadcast_model(docs.sparkSession, m) for m in models]
+    # Median depths of both halves' samples by label: a row a language.
+    depths = [s.select("lang", identify(F.col("text"), sent[1 - i]).alias("found")).groupBy("lang").agg(F.median("found.depth")) for i, s in enumerate(samples)]
+    usual = [dict(map(tuple, d.collect())) for d in depths]
+    discard(*samples)
+
+    def stays(i: int) -> Column:
+        if not models[1 - i].languages:
+            return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+        found = identify(F.col("text"), sent[1 - i])
+        least = F.lit(least_share * min(usual[i].values(), default=0.0))
+        for lang, depth in usual[i].items():
+            least = F.when(found["lang_pred"] == lang, F.lit(least_share * depth)).otherwise(least)
+        return (found["lang_pred"] != UNKNOWN) & (found["depth"] >= least)
+
+    # Each half is scored by one model only.
+    return docs.where(half == 0).where(stays(0)).unionByName(docs.where(half == 1).where(stays(1)))
