@@ -49,6 +49,18 @@ def dealt_across(labelled: DataFrame, node: str, group_rows: int) -> DataFrame:
     return own.select(F.explode(groups).alias("group"), node, "component")
 
 
+def keys_to_compare(labelled: DataFrame, node: str) -> DataFrame:
+    """``key, count`` of keys with several components, of rows ``key``, ``component`` and ``node``; of keys with the same nodes, one.
+
+    Texts that have one passage in common share many keys and need to meet
+    once. Keys have the same nodes if two 64-bit digests of all nodes and their
+    number are equal.
+    """
+    digests = [F.bit_xor(F.xxhash64(node, F.lit(i))).alias(f"digest{i}") for i in (0, 1)]
+    keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"), *digests)
+    return keys.where("low <> high").groupBy("count", "digest0", "digest1").agg(F.min("key").alias("key")).select("key", "count")
+
+
 def forest(nodes: Sequence[int], sets: Sequence[np.ndarray], similarity: float, parts: Sequence[int] = ()) -> list[tuple[int, int]]:
     """Links that join all pairs of sets of that Jaccard similarity or more, directly or by steps; fewer than sets.
 

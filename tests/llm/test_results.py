@@ -796,6 +796,12 @@ def crowded_texts():
     return out
 
 
+def test_keys_of_the_same_nodes_are_compared_once(spark):
+    table = [("a", 1, 1), ("a", 2, 2), ("b", 1, 1), ("b", 2, 2), ("c", 1, 1), ("c", 3, 1), ("d", 1, 1), ("d", 2, 2), ("d", 3, 1)]
+    rows = groups.keys_to_compare(spark.createDataFrame(table, "key string, node long, component long"), "node").collect()
+    assert sorted(map(tuple, rows)) == [("a", 2), ("d", 3)]
+
+
 def test_a_shared_passage_makes_no_candidates(spark):
     """Sets of one key that have three in five shingles in common, all of different components: what is made grows in proportion."""
     made = {}
@@ -804,8 +810,9 @@ def test_a_shared_passage_makes_no_candidates(spark):
         sets = [np.unique(np.r_[common, similar._mixed(np.arange(i * 40 + 1, i * 40 + 41, dtype=np.uint64))]) for i in range(n)]
         sets += [np.r_[s[:-1], s[-1] + np.uint64(1)] for s in sets[:5]]
         rows = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "content long, component long, shingles binary")
-        made[n] = similar.groups_by_rarest(rows).count()
-        assert sorted(tuple(sorted(r)) for r in similar.crossing_links(rows).collect()) == [(i, n + i) for i in range(5)]
+        met = similar.groups_by_rarest(rows)
+        made[n] = met.count()
+        assert sorted(tuple(sorted(r)) for r in similar.links_across(met, rows).collect()) == [(i, n + i) for i in range(5)]
     assert made[1200] <= 4 * made[300]
 
 
