@@ -296,7 +296,7 @@ def broadcast_model(spark: SparkSession, model: LangIdModel) -> Broadcast:
     return spark.sparkContext.broadcast(model)
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.8, config: LangIdConfig = LangIdConfig()) -> DataFrame:
+def keep_identified(docs: DataFrame, least_share: float = 0.8, doubt: float = 5, config: LangIdConfig = LangIdConfig()) -> DataFrame:
     """The rows of ``docs`` whose text is in a language that labelled rows have; columns as they are.
 
     Texts without a letter go, and those whose words are known much less deep
@@ -306,8 +306,10 @@ def keep_identified(docs: DataFrame, least_share: float = 0.8, config: LangIdCon
     the labelled rows of one half of all texts, and a text is judged by that of
     the other half, copies of it included. What is usual is the median depth of
     the sampled texts labelled with a language under the other half's model; a
-    text needs ``least_share`` of that of the language it is taken for. Without labelled rows in the other half nothing can
-    be judged, and only texts without a letter go.
+    text needs ``least_share`` of that of the language it is taken for, or
+    n / (n + ``doubt``) of this where n sampled texts of all languages are the evidence.
+    Without labelled rows in the other half nothing can be judged, and only
+    texts without a letter go.
     """
     half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2))
     labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
@@ -315,8 +317,11 @@ def keep_identified(docs: DataFrame, least_share: float = 0.8, config: LangIdCon
     models = [fit(s, config) for s in samples]
     sent = [broadcast_model(docs.sparkSession, m) for m in models]
     # Median depths of both halves' samples by label: a row a language.
-    depths = [s.select("lang", identify(F.col("text"), sent[1 - i]).alias("found")).groupBy("lang").agg(F.median("found.depth")) for i, s in enumerate(samples)]
-    usual = [dict(map(tuple, d.collect())) for d in depths]
+    depths = [s.select("lang", identify(F.col("text"), sent[1 - i]).alias("found")).groupBy("lang").agg(F.median("found.depth"), F.count("*")) for i, s in enumerate(samples)]
+    usual = []
+    for rows in (d.collect() for d in depths):
+        n = sum(r[2] for r in rows)
+        usual.append({r[0]: r[1] * n / (n + doubt) for r in rows})
     discard(*samples)
 
     def stays(i: int) -> Column:
