@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import WindowFrames
-from strandline.operators.chunks import chunk_of
+from strandline.operators.chunks import chunk_of, numbered
 
 
 def below(smoothed: DataFrame, threshold: Column) -> DataFrame:
@@ -56,5 +56,4 @@ def segments(smoothed: DataFrame, threshold: Column, frames: WindowFrames, least
     closed = found.join(last, "series_id").withColumn("end_frame", F.when(open_, F.col("last_frame")).otherwise(F.col("end_frame")))
     if least:
         closed = closed.where(F.col("end_frame") - F.col("start_frame") >= frames.min_length)
-    number = F.row_number().over(Window.partitionBy("series_id").orderBy("start_frame")).cast("long").alias("seg_index")
-    return closed.select("series_id", number, "start_frame", "end_frame")
+    return numbered(closed, "start_frame", frames.chunk, "seg_index").select("series_id", "seg_index", "start_frame", "end_frame")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import clock_label, percent, seconds
+from strandline.operators.chunks import numbered
 
 
-def renumbered(segments: DataFrame) -> DataFrame:
+def renumbered(segments: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """``seg_index`` from 1 again, after some were dropped."""
-    number = F.row_number().over(Window.partitionBy("series_id").orderBy("start_frame")).cast("long")
-    return segments.withColumn("seg_index", number)
+    return numbered(segments.drop("seg_index"), "start_frame", chunk, "seg_index").select(segments.columns)
 
 
 def segment_rows(segments: DataFrame, fps: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import block_colour, block_left, block_width, two_digits
+from strandline.operators.chunks import largest_before
 
 
 def first_covers(rows: DataFrame) -> DataFrame:
@@ -14,8 +15,7 @@ def first_covers(rows: DataFrame) -> DataFrame:
     Segments are numbered by their starts, so one is the first from its start,
     or from where the last of those before it has ended. These stretches don't overlap.
     """
-    before = F.max("end_sec").over(Window.partitionBy("series_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
-    reached = rows.select("series_id", "index", "start_sec", "end_sec", before.alias("before"))
+    reached = largest_before(rows.select("series_id", "index", "start_sec", "end_sec"), "index", "end_sec", 1 << 16, "before")
     late = F.coalesce(F.col("before") >= F.col("start_sec"), F.lit(False))
     open_ = reached.where("before IS NULL OR end_sec > before")
     return open_.select("series_id", "index", F.greatest("start_sec", "before").alias("at"), late.alias("late"), F.col("end_sec").alias("end"))

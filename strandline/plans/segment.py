@@ -5,30 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import SegmentConfig, WindowFrames
 from strandline.operators import fps as rates
 from strandline.operators import islands, mixture, report, smooth, verify
-from strandline.operators.chunks import chunk_of
+from strandline.operators.chunks import numbered
 from strandline.storage import Workspace
 
 
 def dense_frames(df: DataFrame, series: Column, order: Column, chunk: int = 1 << 18) -> DataFrame:
-    """Adds ``series_id`` and ``frame``, which counts a series' rows from 0 in the order of a whole number.
-
-    Rows are counted by stretches of the order, then numbered within each, so no
-    task has a whole series.
-    """
+    """Adds ``series_id`` and ``frame``, which counts a series' rows from 0 in the order of a whole number."""
     keyed = df.withColumns({"series_id": series.cast("string"), "__order": order.cast("long")})
-    keyed = keyed.withColumn("__part", F.floor(F.col("__order") / chunk))
-    counts = keyed.groupBy("series_id", "__part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("series_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("series_id", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"))
-    within = F.row_number().over(Window.partitionBy("series_id", "__part").orderBy("__order")) - 1
-    numbered = keyed.withColumn("__within", within).join(starts, ["series_id", "__part"])
-    return numbered.withColumn("frame", F.col("__start") + F.col("__within")).drop("__order", "__part", "__start", "__within")
+    return numbered(keyed, "__order", chunk, "frame", first=0).drop("__order")
 
 
 def thresholds(scores: DataFrame, config: SegmentConfig) -> DataFrame:

@@ -7,9 +7,8 @@ with a byte order mark; scores are written by tasks.
 from __future__ import annotations
 
 import csv
-import json
+import os
 from html import escape
-from pathlib import Path
 from string import Template
 
 from pyspark.sql import DataFrame
@@ -46,6 +45,11 @@ def write_clip_index(rows: DataFrame, path: str) -> int:
     return write_report(rows, path, CLIP_COLUMNS, "start_frame")
 
 
+def json_items(rows: DataFrame) -> DataFrame:
+    """``series_id, index, item``: each segment as a JSON object, a row each."""
+    return rows.select("series_id", "index", F.to_json(F.struct(*SEGMENT_COLUMNS)).alias("item"))
+
+
 def segments_json(rows: DataFrame) -> DataFrame:
     """``series_id, payload``: each series' segments as one JSON array, in order."""
     ordered = F.sort_array(F.collect_list(F.struct(*SEGMENT_COLUMNS)))
@@ -93,20 +97,31 @@ video.ontimeupdate = () => {
 )
 
 
-def viewer_page(payload: str, total_sec: float, source: str, title: str = "Segments") -> str:
-    """A page that plays a video beside its segments; text from data can't end the script or an attribute."""
-    json.loads(payload)
-    return PAGE.substitute(
-        title=escape(title),
-        source=escape(source.replace("\\", "/"), quote=True),
-        payload=payload.replace("</", "<\\/").replace("<!--", "<\\!--"),
-        total=f"{total_sec:.6f}",
-    )
+def viewer_around(total_sec: float, source: str, title: str = "Segments") -> tuple[str, str]:
+    """What stands before and after the segments in a page that plays a video beside them; text can't end an attribute."""
+    page = PAGE.substitute(title=escape(title), source=escape(source.replace("\\", "/"), quote=True), payload="\0", total=f"{total_sec:.6f}")
+    before, _, after = page.partition("\0")
+    return before, after
 
 
 def write_viewer(rows: DataFrame, path: str, total_sec: float, source: str) -> None:
-    """The page of one series; without segments it says so."""
-    found = segments_json(rows).limit(2).collect()
-    if len(found) > 1:
-        raise ValueError("a viewer shows one series")
-    Path(path).write_text(viewer_page(found[0]["payload"] if found else "[]", total_sec, source), encoding="utf-8")
+    """The page of one series, whose segments come one by one in their order; without any it says so.
+
+    The page is there only once it is whole. Text from segments can't end its script.
+    """
+    before, after = viewer_around(total_sec, source)
+    part, series, lead = f"{path}.part", [], ""
+    try:
+        with open(part, "w", encoding="utf-8") as file:
+            file.write(before + "[")
+            for row in json_items(rows).orderBy("series_id", "index").toLocalIterator():
+                series = series or [row["series_id"]]
+                if series != [row["series_id"]]:
+                    raise ValueError("a viewer shows one series")
+                file.write(lead + row["item"].replace("</", "<\\/").replace("<!--", "<\\!--"))
+                lead = ","
+            file.write("]" + after)
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)

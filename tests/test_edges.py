@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import WindowFrames
 from strandline.functions import columns
-from strandline.operators import clips, features, framediff, islands, report, timeline, verify
+from strandline.operators import chunks, clips, features, framediff, islands, report, timeline, verify
 from strandline.sinks import files
 from strandline.sources import devices, frames
 from strandline.sources.scores import check_contiguous, read_scores
@@ -123,6 +123,39 @@ def test_reports(spark, tmp_path):
     assert payload[1]["end_frame"] == 167580
     files.write_viewer(rows.where("false"), str(page), 0.0, "v.mp4")
     assert "segments = []" in page.read_text()
+    two = rows.unionByName(rows.withColumn("series_id", F.lit("other")))
+    with pytest.raises(ValueError, match="one series"):
+        files.write_viewer(two, str(page), 0.0, "v.mp4")
+    assert "segments = []" in page.read_text() and [p.name for p in tmp_path.glob("*.part")] == []
+
+
+def test_numbers_and_largest_before_go_by_stretches(spark):
+    """One long series and short ones, with stretches that are empty, hold one row, or tie in their largest value."""
+    rng = np.random.default_rng(4)
+    own = {"long": np.unique(rng.integers(-5_000, 60_000, 4000)), "one": np.array([7]), "far": np.array([0, 10**12])}
+    rows = [(k, int(a), int(v)) for k, starts in own.items() for a, v in zip(starts, rng.integers(0, 50, len(starts)), strict=True)]
+    df = spark.createDataFrame(rows, "series_id string, start long, v long").repartition(8)
+    want = {}
+    for k in own:
+        top = None
+        for n, (_, a, v) in enumerate(sorted(r for r in rows if r[0] == k)):
+            want[k, a] = (n + 1, top)
+            top = v if top is None else max(top, v)
+    for size in (1, 97, 1 << 20):
+        done = chunks.largest_before(chunks.numbered(df, "start", size, "n"), "n", "v", size, "top")
+        assert {(r["series_id"], r["start"]): (r["n"], r["top"]) for r in done.collect()} == want
+    assert chunks.numbered(df.where("false"), "start", 5, "n").count() == 0
+
+
+def test_numbering_and_anchors_leave_no_whole_series_to_one_task(spark):
+    """No window of rows is dealt by series alone but that over counts; the longest segments are limited before they move."""
+    start = 20 * F.col("id")
+    found = spark.range(1000).select((F.col("id") % 2).cast("string").alias("series_id"), F.col("id").alias("seg_index"), start.alias("start_frame"), (start + 10 + F.col("id") % 7).alias("end_frame"))
+    numbered = report.renumbered(found, chunk=1000)
+    assert numbered.columns == found.columns and numbered.where("seg_index != floor(start_frame / 40) + 1").count() == 0
+    plan = verify.anchors(numbered)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert [r["end_frame"] - r["start_frame"] for r in verify.anchors(found).collect()] == [16] * 10
 
 
 def test_lookup_takes_the_first_and_both_ends(spark):
