@@ -854,3 +854,35 @@ def test_similar_sets_at_the_limit_and_by_steps(spark):
     odd = make(spark, [(None, "x", None, None), (5, "x", None, None), (5, "x", None, None), (None, "y", None, None)])
     assert sorted((r["doc_id"] or 0, r["text"]) for r in similar.drop_similar(odd).collect()) == [(0, "y"), (5, "x")]
     assert similar.drop_similar(docs.where("false")).count() == 0
+
+
+def slow_blocks(shingles, count):
+    """The blocks of a SimHash, bit by bit: 64 bits a seed, set in over half of the hashes, the lowest first."""
+    out = []
+    for seed in similar._mixed(np.arange(1, count // 4 + 1, dtype=np.uint64)):
+        hashes = [int(h) for h in similar._mixed(shingles ^ seed)]
+        bits = [2 * sum(h >> i & 1 for h in hashes) > len(hashes) for i in range(64)]
+        out += [sum(bits[16 * j + i] << i for i in range(16)) for j in range(4)]
+    return out
+
+
+def test_near_duplicates_of_the_pipeline_come_from_simhash(spark):
+    config = similar.SimilarConfig()
+    texts = crowded_texts() | {200 + i: f"some words of {i} are here alone, and {i * i} too" for i in range(40)} | {300: "a b", 301: "A  b"}
+    sets = {i: similar.shingles_of(t.encode(), 5) for i, t in texts.items()}
+    prints = {i: similar.fingerprint_of(s, config) for i, s in sets.items()}
+    for i in (0, 200, 300):
+        assert prints[i].tolist() == slow_blocks(sets[i], config.blocks)
+    # All pairs that share one of the blocks and differ in few bits meet, in crowded blocks too.
+    rows = [(i, p.view(np.int16).tolist(), *map(int, p[:8].view(np.int64)), i) for i, p in prints.items() if i != 301]
+    table = spark.createDataFrame(rows, "content long, blocks array<smallint>, mark0 long, mark1 long, component long")
+    want = [(i, j) for i in prints for j in prints if i < j < 301 and (prints[i] == prints[j])[32:64].any() and np.bitwise_count(prints[i][:8] ^ prints[j][:8]).sum() <= 40]
+    for near_rows in (8, 512):
+        keys = {}
+        for r in similar.near_groups(table, 32, similar.SimilarConfig(near_rows=near_rows)).collect():
+            keys.setdefault(r["content"], set()).add(r["key"])
+        assert len(want) > 500 and all(keys.get(i, set()) & keys.get(j, set()) for i, j in want)
+    # Without close fingerprints only equal sets are one.
+    docs = make(spark, [(i, t, None, None) for i, t in texts.items()])
+    kept = [r["doc_id"] for r in similar.drop_similar(docs, similar.SimilarConfig(most_bits=-1)).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(texts) - {301})
