@@ -28,6 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
 from strandline.llm.groups import dealt, links_of_groups
-from strandline.llm.storage import discard, written
+from strandline.llm.storage import discard, release, written
 
 
 #: Words, and the white space between them.
@@ -244,18 +245,33 @@ def _shingle_sets(config: PassageConfig):
     return rows
 
 
+def _colliding(contents: DataFrame, config: PassageConfig) -> DataFrame:
+    """``key, content, count``: contents of keys that several documents have, and how many contents a key has.
+
+    Keys of different bands never are the same, so each band is done by itself
+    and its shuffles are dropped before the next.
+    """
+    parts = []
+    for band in _band_names(config):
+        keyed = contents.select("content", "low", "high", F.col(band).alias("key"))
+        # A key of one content, or within one document, is nothing shared.
+        spread = keyed.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("count"))
+        spread = spread.where("least <> most AND count > 1").select("key", "count")
+        # Only what collides is followed further.
+        parts.append(written(keyed.select("key", "content").join(spread, "key")))
+        release(contents)
+    colliding = written(reduce(DataFrame.union, parts))
+    discard(*parts)
+    return colliding
+
+
 def similar_links(docs: DataFrame, contents: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
     """Links ``a, b`` between different contents whose shingle sets are similar.
 
     ``contents`` has ``content, low, high`` (the least and largest document with
     it) and the bands.
     """
-    keyed = contents.select("content", "low", "high", F.explode(F.array(*_band_names(config))).alias("key"))
-    # A key of one content, or within one document, is nothing shared.
-    spread = keyed.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("count"))
-    spread = spread.where("least <> most AND count > 1").select("key", "count")
-    # Only what collides is followed further.
-    colliding = written(keyed.select("key", "content").join(spread, "key"))
+    colliding = _colliding(contents, config)
     # A content has one document that it is read from again, whose text is taken once.
     wanted = contents.select(F.col("low").alias("row"), "content").join(colliding.select("content").distinct(), "content", "left_semi").groupBy("row").agg(F.collect_list("content").alias("wanted"))
     # Joined first, so that of repeated rows only wanted ones are sorted again.
@@ -275,6 +291,7 @@ def repeated_paragraphs(docs: DataFrame, config: PassageConfig = PassageConfig()
     paragraphs = written(_numbered(docs).select("row", "text").mapInArrow(_paragraph_rows(config), made))
     bands = [F.min(b).alias(b) for b in _band_names(config)]  # equal for equal contents
     contents = written(paragraphs.groupBy("content").agg(F.min("row").alias("low"), F.max("row").alias("high"), *bands))
+    release(contents)
     parts = connected_components(similar_links(docs, contents, config)).withColumnRenamed("node", "content")
     # What is alone has no part in a component and stands in one document only.
     linked = contents.select("content", "low", "high").join(parts, "content", "left").where("component IS NOT NULL OR low <> high")

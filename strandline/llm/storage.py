@@ -55,7 +55,12 @@ def discard(*tables: DataFrame) -> None:
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0])
+
+
+def release(table: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of plans that are done with, as ``discard`` does."""
+    table.sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -886,3 +886,23 @@ def test_near_duplicates_of_the_pipeline_come_from_simhash(spark):
     docs = make(spark, [(i, t, None, None) for i, t in texts.items()])
     kept = [r["doc_id"] for r in similar.drop_similar(docs, similar.SimilarConfig(most_bits=-1)).select("doc_id").collect()]
     assert sorted(kept) == sorted(set(texts) - {301})
+
+
+def test_op9_bands_collide_one_at_a_time(spark, monkeypatch):
+    """No shuffle has the keys of several bands, and what collides is what plain counting finds."""
+    rng = np.random.default_rng(3)
+    names = passages._band_names(passages.PassageConfig())
+    table = [(i, int(rng.integers(0, 30)), int(rng.integers(30, 60)) if i % 3 else 0, *(1000 * b + int(rng.integers(0, 150)) for b in range(len(names)))) for i in range(200)]
+    table = [(c, low, high or low, *keys) for c, low, high, *keys in table]
+    plans = []
+    real = passages.written
+    monkeypatch.setattr(passages, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    contents = spark.createDataFrame(table, "content long, low long, high long, " + ", ".join(f"{n} long" for n in names))
+    held = {}
+    for c, low, high, *keys in table:
+        for k in keys:
+            held.setdefault(k, []).append((c, low, high))
+    want = sorted((k, c, len(v)) for k, v in held.items() if len(v) > 1 and min(x[1] for x in v) != max(x[2] for x in v) for c, _, _ in v)
+    found = passages._colliding(contents, passages.PassageConfig())
+    assert sorted((r["key"], r["content"], r["count"]) for r in found.collect()) == want
+    assert len(plans) == len(names) + 1 and not any("Generate" in p for p in plans)
