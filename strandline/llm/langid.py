@@ -167,8 +167,12 @@ def fit(labelled: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdMod
 
 
 def _model(table: pa.Table, config: LangIdConfig) -> LangIdModel:
-    languages = sorted(x for x in table["lang"].unique().to_pylist())
-    lang = np.searchsorted(np.array(languages, object), np.array(table["lang"].to_pylist(), object)) if languages else np.zeros(0, np.int64)
+    # By codes: a string for each row would be most of what the driver holds.
+    coded = table["lang"].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    languages = sorted(names)
+    place = {x: i for i, x in enumerate(languages)}
+    lang = np.array([place[x] for x in names], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
     n, key, count = (table[c].to_numpy() for c in ("n", "key", "count"))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for size in range(config.longest_gram + 1):

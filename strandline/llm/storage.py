@@ -63,5 +63,16 @@ def release(table: DataFrame) -> None:
     table.sparkSession._jvm.System.gc()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``written``, and what the driver kept for the plan goes at once.
+
+    Its memory then follows the largest of many steps, not what they leave
+    behind between them.
+    """
+    out = written(df)
+    release(out)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,10 +4,12 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import groups, langid, media, mixing, packing, passages, pii, shards, similar, simhash, topk, toxicity
+from strandline.llm import groups, langid, media, mixing, packing, passages, pii, shards, similar, simhash, storage, topk, toxicity
 from strandline.llm.components import connected_components
 from strandline.llm.queries import ORACLES, QUERIES
 from tests.compare import duck, rows
@@ -906,3 +908,31 @@ def test_op9_bands_collide_one_at_a_time(spark, monkeypatch):
     found = passages._colliding(contents, passages.PassageConfig())
     assert sorted((r["key"], r["content"], r["count"]) for r in found.collect()) == want
     assert len(plans) == len(names) + 1 and not any("Generate" in p for p in plans)
+
+
+def test_near_duplicates_leave_little_on_the_driver(spark, monkeypatch):
+    """What a step's plan left is released before the next one, and no table of counters is made where no key is crowded."""
+    done, paths = [], []
+    real, release = storage.written, storage.release
+    monkeypatch.setattr(storage, "written", lambda df: done.append("written") or real(df))
+    monkeypatch.setattr(storage, "release", lambda df: done.append("release") or release(df))
+    monkeypatch.setattr(similar, "groups_by_rarest", lambda *a: paths.append(a))
+    texts = {i: t for i, t in crowded_texts().items() if i < 12} | {100: "a b", 101: "A  b"}
+    docs = make(spark, [(i, t, None, None) for i, t in texts.items()])
+    assert sorted(r["doc_id"] for r in similar.drop_similar(docs).collect()) == kept_by_jaccard(texts)
+    assert not paths
+    assert done.count("written") > 20 and "written written" not in " ".join(done)
+
+
+def test_language_model_holds_no_string_for_each_row():
+    rows, names = 200_000, ["de", "en", "fr"]
+    langs = pa.array(names * (rows // 3))
+    table = pa.table({"lang": langs, "n": pa.array((np.arange(len(langs)) // 3 % 6).astype(np.int32)), "key": pa.array(np.arange(len(langs)) // 3), "count": pa.array(np.arange(len(langs)) % 3 + 1)})
+    tracemalloc.start()
+    model = langid._model(table, langid.LangIdConfig())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == names and len(model.words) + len(model.grams) == len(langs) // 3
+    shares = np.exp(model.word_scores).sum(axis=0)
+    assert np.allclose(shares, 1, atol=1e-3) and (np.diff(model.words) > 0).all()
+    assert peak < 50 * len(langs)
