@@ -924,6 +924,59 @@ def test_near_duplicates_leave_little_on_the_driver(spark, monkeypatch):
     assert done.count("written") > 20 and "written written" not in " ".join(done)
 
 
+def family_texts(n):
+    """Texts with two or three words of their own each: close to each other in many blocks, most pairs below the limit; a copy of each tenth has one more."""
+    rng = np.random.default_rng(17)
+    out = {}
+    for i in range(n):
+        words = [f"w{j}" for j in range(120)]
+        for j in rng.choice(120, int(rng.integers(2, 4)), replace=False):
+            words[j] = f"x{i}_{j}"
+        out[i] = " ".join(words)
+        if i % 10 == 0:
+            out[n + i] = " ".join([*words[:60], f"y{i}", *words[61:]])
+    return out
+
+
+def test_a_family_of_texts_below_the_limit_goes_on_under_few_keys(spark, monkeypatch):
+    """What is close in many blocks and stays apart meets once by its rarest shingles, not again under each block, and is verified with few others."""
+    texts, made = family_texts(120), []
+    real = similar.settled
+
+    def counted(df):
+        out = real(df)
+        if {"key", "a"} & set(out.columns) and "shingles" not in out.columns:
+            made.append((out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(similar, "settled", counted)
+    docs = make(spark, [(i, t, None, None) for i, t in texts.items()])
+    assert sorted(r["doc_id"] for r in similar.drop_similar(docs).collect()) == kept_by_jaccard(texts)
+    assert max(made)[0] <= 40 * len(texts), max(made)
+
+
+def test_each_set_is_held_against_few_pivots(spark):
+    config = similar.SimilarConfig()
+    rng = np.random.default_rng(23)
+    rows = [(k, int(c), 100, int(c)) for k in range(150) for c in rng.choice(300, 40, replace=False)]
+    near = lambda size, other: F.expr(f"{size} = {other}")
+    pairs = [tuple(r) for r in similar.pivot_pairs(spark.createDataFrame(rows, "key int, content long, size int, component long"), near, config).collect()]
+    under = {}
+    for k, c, _, _ in rows:
+        under.setdefault(c, set()).add(k)
+    assert len(pairs) == len(set(pairs)) <= config.pivots * len(under) and all(a < b and under[a] & under[b] for a, b in pairs)
+    assert {x for p in pairs for x in p} == set(under)
+
+
+def test_sets_of_a_key_go_the_same_way(spark):
+    config = similar.SimilarConfig(group_rows=8)
+    # Content 0 is under five keys; keys 0 to 4 share it. Key 5 is crowded. Keys 6 and 7 are neither; key 8 is of one component.
+    rows = [(k, c, c) for k in range(5) for c in (0, 10 + k)] + [(5, c, c) for c in range(20, 30)] + [(6, 10, 10), (6, 40, 40), (7, 41, 41), (7, 42, 42), (8, 50, 1), (8, 51, 1)]
+    few, many = similar.apart(spark.createDataFrame(rows, "key long, content long, component long"), 16, config)
+    assert sorted(map(tuple, few.select("key", "content", "component").collect())) == [(6, 10, 10), (6, 40, 40), (7, 41, 41), (7, 42, 42)]
+    assert sorted(map(tuple, many.collect())) == [(c, c) for c in [0, *range(10, 15), *range(20, 30)]]
+
+
 def test_language_model_holds_no_string_for_each_row():
     rows, names = 200_000, ["de", "en", "fr"]
     langs = pa.array(names * (rows // 3))
